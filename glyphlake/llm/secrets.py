@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bound_batches
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 MIN_CHARS = 20
 #: Characters per token below which a candidate counts as random.
@@ -115,6 +117,7 @@ def scan(docs: DataFrame, max_ratio: float = MAX_RATIO) -> DataFrame:
     Defined results: a null text is an empty one; a null doc_id stays null; repeated rows give
     repeated rows.  An empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scan(max_ratio), "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string, masked string")
 
@@ -132,4 +135,5 @@ def _mask(max_ratio: float):
 
 def mask(docs: DataFrame, max_ratio: float = MAX_RATIO) -> DataFrame:
     """``docs`` with every secret of ``text`` replaced; the other columns stay as they are."""
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(_mask(max_ratio), docs.schema)

@@ -28,6 +28,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/glyphlake/{label}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -47,3 +48,15 @@ class Workspace:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Bytes of an Arrow batch that a Python worker holds at once, a few times over.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_BYTES, so that whole texts of any number and
+    length pass through Python workers of a fixed size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
