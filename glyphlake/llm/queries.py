@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, secrets, sharding, token_files
+from . import minhash, packing, quality, secrets, sharding, token_files, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,14 +29,43 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents")).drop("n_lines")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(x,) for x in urls.LISTED], "entry string")
+    return urls.judge(table(spark, sf_dir, "pages"), listed)
+
+
+OP9_SQL = r"""
+with u as (
+  select page_id,
+         translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path
+  from pages),
+rules(verdict, h, p) as (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+hosts(entry, h) as (values ('casino-win.example.com/', 'casino-win.example.com'), ('free-bets.example.com/', 'free-bets.example.com'), ('cheap-pills.example.com/', 'cheap-pills.example.com'), ('ads-track.example.com/', 'ads-track.example.com')),
+fits as (
+  select d.host, d.path, max_by(r.h || r.p, length(r.h || r.p)) as rule, max_by(r.verdict, length(r.h || r.p)) as verdict
+  from (select distinct host, path from u) d join rules r on (d.host = r.h or ends_with(d.host, '.' || r.h)) and starts_with(d.path, r.p)
+  group by 1, 2),
+lists as (
+  select d.host, min_by(l.entry, length(l.entry)) as listed
+  from (select distinct host from u) d join hosts l on d.host = l.h or ends_with(d.host, '.' || l.h) group by 1)
+select u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, case when l.listed is not null then 'block' else 'allow' end) as verdict, l.listed
+from u left join fits f on u.host = f.host and u.path = f.path left join lists l on u.host = l.host
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_minhash_dedup, op2_sharding, op3_secret_scan, op5_token_files, op8_best_fit_packing]
+    found = [op1_minhash_dedup, op2_sharding, op3_secret_scan, op5_token_files, op6_quality_rules, op8_best_fit_packing, op9_url_filter]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_url_filter": OP9_SQL}
