@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, quality, secrets, sharding, token_files, urls
+from . import decontam, minhash, packing, quality, secrets, sharding, token_files, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,27 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("masked")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP4_SQL = r"""
+with texts as (
+  select 'd' as kind, doc_id as id, text from documents union all select 'i', item_id, text from benchmark),
+split as (
+  select kind, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from texts),
+sets as (
+  select kind, id, unnest(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                             when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as s
+  from split),
+items as (select id as item_id, s, count(*) over (partition by id) as n_item from sets where kind = 'i')
+select d.id as doc_id, item_id, n_item, count(*) as n_shared, count(*) / n_item as containment
+from items i join sets d on d.kind = 'd' and d.s = i.s
+group by d.id, item_id, n_item having 100 * count(*) >= 75 * n_item
+"""
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
@@ -63,9 +84,9 @@ from u left join fits f on u.host = f.host and u.path = f.path left join lists l
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_minhash_dedup, op2_sharding, op3_secret_scan, op5_token_files, op6_quality_rules, op8_best_fit_packing, op9_url_filter]
+    found = [op1_minhash_dedup, op2_sharding, op3_secret_scan, op4_decontamination, op5_token_files, op6_quality_rules, op8_best_fit_packing, op9_url_filter]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": OP9_SQL}
+    return {"op4_decontamination": OP4_SQL, "op9_url_filter": OP9_SQL}
