@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash, packing, quality, secrets, sharding, token_files, urls
+from . import decontam, html_extract, licenses, minhash, packing, quality, secrets, sharding, token_files, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents")).drop("n_lines")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), listed)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 with u as (
   select page_id,
@@ -84,7 +92,7 @@ from u left join fits f on u.host = f.host and u.path = f.path left join lists l
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_minhash_dedup, op2_sharding, op3_secret_scan, op4_decontamination, op5_token_files, op6_quality_rules, op8_best_fit_packing, op9_url_filter]
+    found = [op1_minhash_dedup, op2_sharding, op3_secret_scan, op4_decontamination, op5_token_files, op6_quality_rules, op7_html_extraction, op8_best_fit_packing, op9_url_filter, op10_license_scan]
     return {f.__name__: f for f in found}
 
 
