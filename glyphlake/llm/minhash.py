@@ -290,3 +290,23 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, bins_log2
     return sig.select("doc_id", "n_shingles", "fp_hi", "fp_lo").join(moved, ["fp_hi", "fp_lo"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
+
+
+#: Ids that are broadcast at most to leave documents out; more are joined by hash.
+BROADCAST_IDS = 1_000_000
+
+
+def representatives(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, with all columns.
+
+    Rows that repeat both doc_id and text count as one document, too; rows without doc_id stay.
+    """
+    ws = Workspace(docs.sparkSession, "minhash-kept")
+    found = ws.write(near_duplicates(docs, percent).select(F.col("doc_id").alias("id"), "kept"), "kept")
+    gone = found.where("not kept").select("id").distinct()
+    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id").cast("long") == F.col("id"), "left_anti")
+    again = found.where("id is not null").groupBy("id").count().where("count > 1").select("id")
+    if again.isEmpty():
+        return left
+    same = F.col("doc_id").cast("long") == F.col("id")
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
