@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import Workspace
-from .tokenize import Encoder
+from .tokenize import encoder as encoder_of
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 1024
@@ -32,13 +32,14 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 
 def _pieces(vocabulary: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.asarray([end_id], encoder.dtype).tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encoder.encode(text or "") + end, encoder.dtype).astype("<u4")
+            texts = encoder.encode_all(t or "" for t in batch.column(1).to_pylist())
+            for doc_id, x in zip(batch.column(0).to_pylist(), texts, strict=True):
+                ids = np.frombuffer(x + end, encoder.dtype).astype("<u4")
                 first = len(ids) % capacity or capacity
                 for piece, (a, b) in enumerate(zip([0, *range(first, len(ids), capacity)], range(first, len(ids) + 1, capacity), strict=True)):
                     rows.append((doc_id, piece, a, b - a, zlib.crc32(ids[a:b]), task, seen[b - a]))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import Workspace, shuffle_partitions
-from .tokenize import Encoder
+from .tokenize import encoder as encoder_of
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -58,15 +58,16 @@ def _writer(root: str, vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _store(root)
         part = TaskContext.get().partitionId()
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         end = np.asarray([end_id], encoder.dtype).tobytes()
         lengths, docs, nulls = [], [], []
 
         def ids():
             held, size = [], 0
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    x = encoder.encode(text or "") + end
+                texts = encoder.encode_all(t or "" for t in batch.column(1).to_pylist())
+                for doc_id, x in zip(batch.column(0).to_pylist(), texts, strict=True):
+                    x += end
                     docs.append(doc_id or 0)
                     nulls.append(doc_id is None)
                     lengths.append(len(x) // encoder.dtype.itemsize)

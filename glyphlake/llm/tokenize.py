@@ -1,57 +1,137 @@
 """Token ids of whole texts as bytes, with a memo of space-separated chunks.
 
-Both public vocabularies split a text before any space that follows other characters and is the
-only white space there, so the ids of a text are the joined ids of its chunks.  Joining remembered
-byte strings is many times cheaper than encoding again; the memo is bounded.
+Both kinds of public vocabulary cut a text before any space that follows other characters and is
+the only white space there, so the ids of a text are the joined ids of its chunks.  Joining
+remembered byte strings is many times cheaper than encoding again.  Unknown chunks of many texts
+are encoded together in one string and told apart afterwards by ids that only begin or end a word.  The
+memo keeps two generations of a fixed size, so chunks in use survive and memory is bounded.
 """
 
 from __future__ import annotations
 
+import functools
+import os
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 _MEMO_CHUNKS = 300_000
+#: Characters of texts whose unknown chunks are encoded together.
+_TOGETHER = 1 << 20
 _SPACE_RUNS = re.compile(r"\s ")
+#: A word of Latin letters, with one mark after it or none; NFC and lower case keep its letters.
+_PLAIN_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)[.,;:!?|]?\Z")
 
 
 class _Memo(dict):
+    """The younger generation of chunk -> ids; a chunk of the older one moves over on use."""
+
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
+    def add(self, chunk: str, ids: bytes) -> bytes:
         if len(self) >= _MEMO_CHUNKS:
+            self.old = dict(self)
             self.clear()
         self[chunk] = ids
         return ids
 
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        return self.add(chunk, self.encode(chunk) if ids is None else ids)
+
 
 class Encoder:
-    """Encodes a text to little-endian ids of 2 or 4 bytes with a file of the tokenizers library.
+    """Encodes texts to little-endian ids of 2 or 4 bytes with a file of the tokenizers library.
 
     Strings that look like special tokens are ordinary text.
     """
 
     def __init__(self, vocabulary: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        # white space is dropped by this kind, kept with the next word by the other
-        self.drops_space = self.tokenizer.encode("a b", add_special_tokens=False).ids == self.plain_ids("a") + self.plain_ids("b")
-        self.memo = _Memo(lambda chunk: np.asarray(self.plain_ids(chunk), self.dtype).tobytes())
+        # white space is dropped by the one kind, kept with the next word by the other
+        self.drops_space = self.plain_ids("a b") == self.plain_ids("a") + self.plain_ids("b")
+        # ids that can only begin a chunk, as the byte-level letter of a space comes first, or that
+        # can only end a piece
+        self.opens, self.closes = (np.zeros(self.tokenizer.get_vocab_size(), bool) for _ in range(2))
+        for token, i in self.tokenizer.get_vocab().items():
+            self.opens[i], self.closes[i] = token.startswith("Ġ"), token.endswith("</w>")
+        self.memo = _Memo(lambda chunk: self.packed(self.plain_ids(chunk)))
 
     def plain_ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def packed(self, ids: list[int]) -> bytes:
+        return np.asarray(ids, self.dtype).tobytes()
+
+    def _together(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def encode(self, text: str) -> bytes:
+    def _chunks(self, text: str) -> list[str] | None:
+        """The text's chunks; None where a space inside a run of white space is not a cut."""
         if self.drops_space:
-            return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").split(" ")))
+            return text.replace("\n", " ").split(" ")
         if _SPACE_RUNS.search(text):
-            return self.memo.encode(text)  # a space inside a run of white space is not a cut
+            return None
         first, *rest = text.split(" ")
-        return self.memo[first] + b"".join([self.memo[f" {x}"] for x in rest])
+        return [first, *(f" {x}" for x in rest)]
+
+    def learn(self, chunks: Iterable[str]) -> None:
+        """Encode unknown chunks together; those that cannot be told apart are left for later."""
+        if self.drops_space:
+            words = [m for m in map(_PLAIN_WORD.match, chunks) if m]
+            new = [m.string for m in words]
+            ids = self._together(" ".join(new))
+            pieces = np.cumsum([1 + (m.end(1) < len(m.string)) for m in words]) - 1
+            last = np.flatnonzero(self.closes[ids])
+            clear = bool(new) and len(last) == pieces[-1] + 1 and last[-1] == len(ids) - 1
+            ends = last[pieces] + 1 if clear else last
+            starts = np.append(0, ends[:-1])
+        else:
+            new = [c for c in chunks if len(c) > 1 and c[0] == " " and c.count(" ") == 1 and not c[1:].isspace() and "\n" not in c and c.isprintable()]
+            ids = self._together("".join(new))
+            starts = np.flatnonzero(self.opens[ids])
+            ends = np.append(starts[1:], len(ids))
+            clear = bool(new) and len(starts) == len(new) and starts[0] == 0
+        if not clear:
+            return
+        raw, size = ids.tobytes(), self.dtype.itemsize
+        for chunk, a, b in zip(new, (starts * size).tolist(), (ends * size).tolist(), strict=True):
+            self.memo.add(chunk, raw[a:b])
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text, in order."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= _TOGETHER:
+                yield from self._encode_group(group)
+                group, size = [], 0
+        yield from self._encode_group(group)
+
+    def _encode_group(self, texts: list[str]) -> Iterator[bytes]:
+        split = [self._chunks(t) for t in texts]
+        unknown: set[str] = set()
+        for chunks in split:
+            if chunks is not None:
+                unknown.update(chunks)
+        unknown -= self.memo.keys()
+        self.learn([c for c in unknown if c not in self.memo.old])
+        get = self.memo.__getitem__
+        for text, chunks in zip(texts, split, strict=True):
+            yield self.memo.encode(text) if chunks is None else b"".join(map(get, chunks))
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(vocabulary: str) -> Encoder:
+    """One encoder for each worker process, whose memo serves all its tasks."""
+    return Encoder(vocabulary)
