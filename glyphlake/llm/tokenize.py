@@ -1,10 +1,17 @@
-"""Token ids of whole texts as bytes, with a memo of space-separated chunks.
+"""Token ids of whole texts as bytes, with a memo of the pieces of a text.
 
-Both kinds of public vocabulary cut a text before any space that follows other characters and is
-the only white space there, so the ids of a text are the joined ids of its chunks.  Joining
-remembered byte strings is many times cheaper than encoding again.  Unknown chunks of many texts
-are encoded together in one string and told apart afterwards by ids that only begin or end a word.  The
-memo keeps two generations of a fixed size, so chunks in use survive and memory is bounded.
+The public vocabularies first cut a text into pieces by a fixed pattern and encode each piece by
+itself, so a text's ids are the joined ids of any pieces cut at places where the pattern cuts, too:
+
+- before a space, or around a line break, that is the only white space there;
+- before a point or comma that stands next to letters, digits and white space only;
+- where white space is dropped, at all of it; case is folded first in Latin-1 texts.
+
+Texts with runs of white space that cannot be cut this way are encoded whole.  The texts of a batch
+are cut and their pieces numbered by Arrow's kernels, each distinct piece is looked up once, and
+the ids are gathered by numpy.  Unknown pieces are encoded together in one string and told apart by
+ids that only begin or end a piece.  The memo keeps two generations of a fixed size, so pieces in
+use survive and memory is bounded.
 """
 
 from __future__ import annotations
@@ -15,32 +22,38 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_MEMO_CHUNKS = 300_000
-#: Characters of texts whose unknown chunks are encoded together.
-_TOGETHER = 1 << 20
-_SPACE_RUNS = re.compile(r"\s ")
-#: A word of Latin letters, with one mark after it or none; NFC and lower case keep its letters.
-_PLAIN_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)[.,;:!?|]?\Z")
+_MEMO_PIECES = 300_000
+#: Characters of texts that are cut and encoded together.
+_TOGETHER = 4 << 20
+_SYMBOL = r"(?:[^\w\s]|_)"
+_RUN = re.compile(r"\s\s|\A\s|\s\Z")
+#: Points and commas that are not pieces of their own.
+_BOUND_MARK = re.compile(rf"[.,]{_SYMBOL}|{_SYMBOL}[.,]")
+_BOUND_OR_SPACED_MARK = re.compile(rf"[.,]{_SYMBOL}|{_SYMBOL}[.,]|\s[.,]")
+#: Between texts; one that holds it, or the sign of a cut, is encoded whole.
+_END = "\x02"
 
 
 class _Memo(dict):
-    """The younger generation of chunk -> ids; a chunk of the older one moves over on use."""
+    """The younger generation of piece -> ids; a piece of the older one moves over on use."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode, self.old = encode, {}
 
-    def add(self, chunk: str, ids: bytes) -> bytes:
-        if len(self) >= _MEMO_CHUNKS:
+    def turn(self) -> None:
+        """Begin a new generation if this one is full."""
+        if len(self) >= _MEMO_PIECES:
             self.old = dict(self)
             self.clear()
-        self[chunk] = ids
-        return ids
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.old.get(chunk)
-        return self.add(chunk, self.encode(chunk) if ids is None else ids)
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        self[piece] = ids = self.encode(piece) if ids is None else ids
+        return ids
 
 
 class Encoder:
@@ -57,55 +70,60 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        # white space is dropped by the one kind, kept with the next word by the other
-        self.drops_space = self.plain_ids("a b") == self.plain_ids("a") + self.plain_ids("b")
-        # ids that can only begin a chunk, as the byte-level letter of a space comes first, or that
-        # can only end a piece
+        # white space is dropped and case folded by the one kind; the other keeps both
+        self.drops_space = self.plain_ids("a B") == self.plain_ids("a") + self.plain_ids("b")
+        # ids that can only begin a piece, as the byte-level letter of a space comes first, or that
+        # can only end one
         self.opens, self.closes = (np.zeros(self.tokenizer.get_vocab_size(), bool) for _ in range(2))
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i], self.closes[i] = token.startswith("Ġ"), token.endswith("</w>")
-        self.memo = _Memo(lambda chunk: self.packed(self.plain_ids(chunk)))
+        self.newline = None if self.drops_space else self.plain_ids("\n")[0]
+        self.memo = _Memo(lambda piece: np.asarray(self.plain_ids(piece), self.dtype).tobytes())
 
     def plain_ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def packed(self, ids: list[int]) -> bytes:
-        return np.asarray(ids, self.dtype).tobytes()
-
-    def _together(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-
-    def _chunks(self, text: str) -> list[str] | None:
-        """The text's chunks; None where a space inside a run of white space is not a cut."""
+    def _cut(self, text: str) -> str | None:
+        """The text with its cuts marked; None where it must be encoded whole."""
+        if _END in text or "\0" in text:
+            return None
         if self.drops_space:
-            return text.replace("\n", " ").split(" ")
-        if _SPACE_RUNS.search(text):
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+            text = text.lower()
+            return text if _BOUND_MARK.search(text) else text.replace(".", " .").replace(",", " ,")
+        if _RUN.search(text):
             return None
-        first, *rest = text.split(" ")
-        return [first, *(f" {x}" for x in rest)]
+        text, marks = text.replace(" ", "\0 ").replace("\n", "\0\n\0"), text
+        return text if _BOUND_OR_SPACED_MARK.search(marks) else text.replace(".", "\0.").replace(",", "\0,")
+
+    def _learn(self, pieces: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Remember ids[start:end] of each piece if the places could be told apart."""
+        if len(pieces) == len(starts) == len(ends):
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            self.memo.update(zip(pieces, [raw[a:b] for a, b in zip((starts * size).tolist(), (ends * size).tolist(), strict=True)], strict=True))
 
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Encode unknown chunks together; those that cannot be told apart are left for later."""
+    def _learn_all(self, unknown: list[str]) -> None:
+        """Encode unknown words together; what is left out here is encoded by itself on use."""
         if self.drops_space:
-            words = [m for m in map(_PLAIN_WORD.match, chunks) if m]
-            new = [m.string for m in words]
-            ids = self._together(" ".join(new))
-            pieces = np.cumsum([1 + (m.end(1) < len(m.string)) for m in words]) - 1
-            last = np.flatnonzero(self.closes[ids])
-            clear = bool(new) and len(last) == pieces[-1] + 1 and last[-1] == len(ids) - 1
-            ends = last[pieces] + 1 if clear else last
-            starts = np.append(0, ends[:-1])
-        else:
-            new = [c for c in chunks if len(c) > 1 and c[0] == " " and c.count(" ") == 1 and not c[1:].isspace() and "\n" not in c and c.isprintable()]
-            ids = self._together("".join(new))
-            starts = np.flatnonzero(self.opens[ids])
-            ends = np.append(starts[1:], len(ids))
-            clear = bool(new) and len(starts) == len(new) and starts[0] == 0
-        if not clear:
+            words = [c for c in unknown if c.isalpha() and c.islower() and max(c) <= "ÿ"]
+            ids = self._together(" ".join(words))
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            self._learn(words, ids, np.append(0, ends[:-1]) if len(ends) else ends, ends)
             return
-        raw, size = ids.tobytes(), self.dtype.itemsize
-        for chunk, a, b in zip(new, (starts * size).tolist(), (ends * size).tolist(), strict=True):
-            self.memo.add(chunk, raw[a:b])
+        words = [c for c in unknown if c[:1] == " " and c[1:].isalpha()]  # one space and letters
+        ids = self._together("".join(words))
+        starts = np.flatnonzero(self.opens[ids])
+        self._learn(words, ids, starts, np.append(starts[1:], len(ids)) if len(starts) else starts)
+        words = [c for c in unknown if c.isalpha()]
+        ids = self._together("".join(f"\n{c}" for c in words))
+        breaks = np.flatnonzero(ids == self.newline)
+        self._learn(words, ids, breaks + 1, np.append(breaks[1:], len(ids)) if len(breaks) else breaks)
+
+    def _together(self, text: str) -> np.ndarray:
+        return np.asarray(self.plain_ids(text), self.dtype)
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, in order."""
@@ -116,19 +134,32 @@ class Encoder:
             if size >= _TOGETHER:
                 yield from self._encode_group(group)
                 group, size = [], 0
-        yield from self._encode_group(group)
+        if group:
+            yield from self._encode_group(group)
 
     def _encode_group(self, texts: list[str]) -> Iterator[bytes]:
-        split = [self._chunks(t) for t in texts]
-        unknown: set[str] = set()
-        for chunks in split:
-            if chunks is not None:
-                unknown.update(chunks)
-        unknown -= self.memo.keys()
-        self.learn([c for c in unknown if c not in self.memo.old])
-        get = self.memo.__getitem__
-        for text, chunks in zip(texts, split, strict=True):
-            yield self.memo.encode(text) if chunks is None else b"".join(map(get, chunks))
+        cut = [self._cut(t) for t in texts]
+        joined = (f" {_END} " if self.drops_space else f"\0{_END}\0").join("" if c is None else c for c in cut)
+        one = pa.array([joined], pa.large_string())
+        parts = pc.ascii_split_whitespace(one) if self.drops_space else pc.split_pattern(one, "\0")
+        coded = parts.flatten().dictionary_encode()
+        pieces, nth = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        memo, old = self.memo, self.memo.old
+        self._learn_all([c for c in pieces if c not in memo and c not in old])
+        known = [b"" if c == _END or not c else memo[c] for c in pieces]
+        memo.turn()
+        # ids of piece k are flat[start[k]:start[k] + size[k]]
+        flat = np.frombuffer(b"".join(known), self.dtype)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        start = np.cumsum(size) - size
+        sizes = size[nth]
+        upto = np.cumsum(sizes)
+        ids = flat[np.repeat(start[nth] - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)]
+        ends = np.flatnonzero(nth == pieces.index(_END)) if len(texts) > 1 else np.empty(0, np.int64)
+        at = [0, *upto[ends].tolist(), len(ids)]
+        raw, width = ids.tobytes(), self.dtype.itemsize
+        for text, c, a, b in zip(texts, cut, at[:-1], at[1:], strict=True):
+            yield self.memo.encode(text) if c is None else raw[a * width : b * width]
 
 
 @functools.lru_cache(maxsize=2)
