@@ -30,10 +30,8 @@ def entries(fonts: DataFrame) -> DataFrame:
     ranges = lines.where("section = 'range' and size(t) >= 3").withColumn("hi", hex_number(F.get("t", F.lit(1))))
     listed = ranges.where("array").select(*_KEYS, "ln", "lo", "hi", F.posexplode(F.slice("t", 3, F.greatest(F.size("t") - 2, F.lit(0)))).alias("pos", "token"))
     listed = listed.where("lo + pos <= hi").select(*_KEYS, "ln", "pos", (F.col("lo") + F.col("pos")).alias("glyph_id"), hex_character(F.col("token")).alias("unicode"))
-    # a character beyond the Unicode range maps nothing, so a run stops there at the latest
-    first = hex_number(F.get("t", F.lit(2)))
-    start = F.ascii(hex_character(F.get("t", F.lit(2)))).cast("bigint")
-    runs = ranges.where("not array").withColumn("first", F.coalesce(start, first)).where(F.col("first").isNotNull() & (F.col("lo") <= F.col("hi")))
+    # the start of a run is a plain number; beyond the Unicode range it maps nothing and stops
+    runs = ranges.where("not array").withColumn("first", hex_number(F.get("t", F.lit(2)))).where(F.col("first").isNotNull() & (F.col("lo") <= F.col("hi")))
     runs = runs.select(*_KEYS, "ln", "lo", "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("hi") - F.col("lo"), F.lit(0x10FFFF) - F.least(F.col("first"), F.lit(0x10FFFF))))).alias("i"))
     runs = runs.select(*_KEYS, "ln", F.col("i").cast("int").alias("pos"), (F.col("lo") + F.col("i")).alias("glyph_id"), code_point(F.col("first") + F.col("i")).alias("unicode"))
     return single.unionByName(listed).unionByName(runs).where("unicode is not null")

@@ -20,7 +20,8 @@ from glyphlake.sources import pdf
 
 def stream_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     """(doc_id, path, length, content) of files as they arrive."""
-    found = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    found = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(path)
     return found.select(F.xxhash64("path").alias("doc_id"), "path", "length", "content")
 
 
