@@ -177,6 +177,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             page = Page(source or "")
             seen = {(p, 0, xxhash.xxh64_intdigest(" ".join(c))) for p, c in page.children.items()}
+            # an element without children has the empty presentation, so a path counts its pages
+            seen |= {(b[0], 0, xxhash.xxh64_intdigest("")) for b in page.blocks if b[0] not in page.children}
             seen |= {(b[0], 1, xxhash.xxh64_intdigest(b[1])) for b in page.blocks}
             for p, k, v in seen:
                 hosts.append(host)
@@ -200,10 +202,8 @@ def template_branches(pages: DataFrame, min_importance: float = MIN_IMPORTANCE,
         F.sum(F.when(F.col("kind") == 0, F.col("n") * F.log("n"))).alias("n_log_n"),
         F.count(F.when(F.col("kind") == 1, 1)).alias("blocks"),
         F.sum(F.when(F.col("kind") == 1, F.log("n"))).alias("log_n"),
-        F.max(F.when(F.col("kind") == 1, F.col("n"))).alias("most"),
     )
-    m = F.greatest(F.coalesce("pages", F.lit(0)), F.coalesce("most", F.lit(0))).alias("m")
-    node = node.select("host", "path", m, "pages", "n_log_n", "blocks", "log_n")
+    node = node.withColumn("m", F.coalesce("pages", F.lit(0)))
     # entropy to base m: log m - sum(n log n) / m, over log m; a path of one page is important
     style = F.when(F.col("pages") > 1, (F.log("pages") - F.col("n_log_n") / F.col("pages")) / F.log("pages"))
     content = F.when((F.col("m") > 1) & (F.col("blocks") > 0), 1 - F.col("log_n") / F.col("blocks") / F.log("m"))
@@ -213,8 +213,8 @@ def template_branches(pages: DataFrame, min_importance: float = MIN_IMPORTANCE,
     up = node.select("host", "path", "m", "importance", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))).alias("level", "branch"))
     weight = F.pow(F.lit(DECAY), F.size(F.split("path", "/")) - 1 - F.col("level"))
     branch = up.groupBy("host", "branch").agg((F.sum(F.col("importance") * weight) / F.sum(weight)).alias("importance"), F.max(F.when(F.col("path") == F.col("branch"), F.col("m"))).alias("pages"))
-    # the whole tree of a host is the branch of its empty path
-    host = branch.where("branch = ''").select("host", F.col("importance").alias("whole"))
+    # a host whose pages differ nowhere shows copies of one page
+    host = node.groupBy("host").agg(F.max(F.when(F.col("m") > 1, F.col("importance"))).alias("whole"))
     low = branch.join(host, "host").where((F.col("pages") >= min_pages) & (F.col("importance") < min_importance) & (F.col("whole") >= min_importance))
     return low.select("host", F.col("branch").alias("path"), "importance")
 
