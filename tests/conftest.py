@@ -27,23 +27,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return SF
-
-
-def oracle_rows(sql, sf_dir):
-    """(column names, sorted rows) of DuckDB over the tables."""
-    import glob
-
-    import duckdb
-
-    con = duckdb.connect()
-    for path in glob.glob(f"{sf_dir}/*.parquet"):
-        con.execute(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
-    found = con.execute(sql)
-    names = [x[0] for x in found.description]
-    order = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted(names), sorted((tuple(r[i] for i in order) for r in found.fetchall()), key=str)
-
-
-def spark_rows(df):
-    names = sorted(df.columns)
-    return names, sorted((tuple(r[n] for n in names) for r in df.collect()), key=str)
