@@ -25,14 +25,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_MEMO_PIECES = 300_000
+_MEMO_PIECES = 250_000
 #: Characters of texts that are cut and encoded together.
 _TOGETHER = 4 << 20
-_SYMBOL = r"(?:[^\w\s]|_)"
-_RUN = re.compile(r"\s\s|\A\s|\s\Z")
-#: Points and commas that are not pieces of their own.
-_BOUND_MARK = re.compile(rf"[.,]{_SYMBOL}|{_SYMBOL}[.,]")
-_BOUND_OR_SPACED_MARK = re.compile(rf"[.,]{_SYMBOL}|{_SYMBOL}[.,]|\s[.,]")
+_RUN = re.compile(r"\s(?=\s)")
+#: Points and commas that are not pieces of their own: next to a symbol, or also after a space.
+_BOUND_MARK = re.compile(r"[.,](?:(?<=[^\w\s].)|(?<=_.)|(?=[^\w\s]|_))", re.S)
+_BOUND_OR_SPACED_MARK = re.compile(r"[.,](?:(?<=[\W_].)|(?=[^\w\s]|_))", re.S)
 #: Between texts; one that holds it, or the sign of a cut, is encoded whole.
 _END = "\x02"
 
@@ -94,7 +93,7 @@ class Encoder:
                 return text
             text = text.lower()
             return text if _BOUND_MARK.search(text) else text.replace(".", " .").replace(",", " ,")
-        if _RUN.search(text):
+        if text[:1].isspace() or text[-1:].isspace() or _RUN.search(text):
             return None
         text, marks = text.replace(" ", "\0 ").replace("\n", "\0\n\0"), text
         return text if _BOUND_OR_SPACED_MARK.search(marks) else text.replace(".", "\0.").replace(",", "\0,")
@@ -113,7 +112,7 @@ class Encoder:
             ends = np.flatnonzero(self.closes[ids]) + 1
             self._learn(words, ids, np.append(0, ends[:-1]) if len(ends) else ends, ends)
             return
-        words = [c for c in unknown if c[:1] == " " and c[1:].isalpha()]  # one space and letters
+        words = [c for c in unknown if c[1:].isalpha() and c[0] == " "]
         ids = self._together("".join(words))
         starts = np.flatnonzero(self.opens[ids])
         self._learn(words, ids, starts, np.append(starts[1:], len(ids)) if len(starts) else starts)
@@ -145,20 +144,28 @@ class Encoder:
         coded = parts.flatten().dictionary_encode()
         pieces, nth = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         memo, old = self.memo, self.memo.old
-        self._learn_all([c for c in pieces if c not in memo and c not in old])
-        known = [b"" if c == _END or not c else memo[c] for c in pieces]
+        known = list(map(memo.get, pieces))
+        missing = [k for k, ids in enumerate(known) if ids is None]
+        self._learn_all([pieces[k] for k in missing if pieces[k] not in old])
+        for k in missing:
+            known[k] = memo[pieces[k]] if pieces[k] and pieces[k] != _END else b""
         memo.turn()
-        # ids of piece k are flat[start[k]:start[k] + size[k]]
+        end = pieces.index(_END) if len(texts) > 1 else -1
+        del one, parts, coded, pieces
+        # ids of piece k are flat[start[k]:start[k] + size[k]]; a text of 2^31 ids is out of reach
         flat = np.frombuffer(b"".join(known), self.dtype)
-        size = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
-        start = np.cumsum(size) - size
+        size = np.fromiter(map(len, known), np.int32, len(known)) // self.dtype.itemsize
+        start = np.cumsum(size, dtype=np.int32) - size
         sizes = size[nth]
-        upto = np.cumsum(sizes)
-        ids = flat[np.repeat(start[nth] - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)]
-        ends = np.flatnonzero(nth == pieces.index(_END)) if len(texts) > 1 else np.empty(0, np.int64)
-        at = [0, *upto[ends].tolist(), len(ids)]
+        upto = np.cumsum(sizes, dtype=np.int32)
+        at = np.repeat(start[nth] - upto + sizes, sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = flat[at]
+        bounds = [0, *upto[np.flatnonzero(nth == end)].tolist(), len(ids)]
         raw, width = ids.tobytes(), self.dtype.itemsize
-        for text, c, a, b in zip(texts, cut, at[:-1], at[1:], strict=True):
+        del flat, known, sizes, upto, at, ids, nth
+        pa.default_memory_pool().release_unused()
+        for text, c, a, b in zip(texts, cut, bounds[:-1], bounds[1:], strict=True):
             yield self.memo.encode(text) if c is None else raw[a * width : b * width]
 
 
