@@ -14,7 +14,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    # the number of links that the search has used depends on its centres
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("n_links")
+
+
+OP1_SQL = r"""
+with recursive split as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+sets as (
+  select doc_id, unnest(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                           when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as s from split),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+links as (
+  select a.doc_id as a, b.doc_id as b from sets a join sets b on a.s = b.s and a.doc_id <> b.doc_id join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+reach(id, c) as (select doc_id, doc_id from documents union select l.b, r.c from reach r join links l on l.a = r.id)
+select d.doc_id, coalesce(z.n, 0) as n_shingles, m.c as component_id, d.doc_id = m.c as kept
+from documents d left join sizes z on z.doc_id = d.doc_id join (select id, min(c) as c from reach group by id) m on m.id = d.doc_id
+"""
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,4 +114,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op9_url_filter": OP9_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op4_decontamination": OP4_SQL, "op9_url_filter": OP9_SQL}
