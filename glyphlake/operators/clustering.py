@@ -33,35 +33,27 @@ def with_lines(glyphs: DataFrame) -> DataFrame:
 
     From the top down a glyph joins the line if its y is within the tolerance of the line's first
     y.  A gap above the tolerance between neighbouring y always begins a line, so pages fall apart
-    into runs without such gaps.  A run no higher than the tolerance is one line.  Only higher runs
-    need the sequential rule, on their distinct y.
+    into runs without such gaps, and within the tolerance of a run's top its top is the anchor.
+    Only what lies lower in a run needs the sequential rule, on the distinct y of such places.
+    All of it takes one window, and so one sort, over the page from the top down.
     """
-    seen = visible(glyphs)
+    tolerance = _float(LINE_TOLERANCE)
     down = Window.partitionBy(*PAGE).orderBy(F.desc("y"), F.asc("x"), F.asc("seq"))
-    gap = (F.lag("y").over(down) - F.col("y")).cast("float")
-    seen = seen.withColumn("starts", F.coalesce((gap > _float(LINE_TOLERANCE)).cast("int"), F.lit(0)))
-    seen = seen.withColumn("run", F.sum("starts").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy(*PAGE, "run")
-    seen = seen.withColumns({"top": F.max("y").over(run), "high": (F.max("y").over(run) - F.min("y").over(run)).cast("float") > _float(LINE_TOLERANCE)})
-    ys = seen.where("high").groupBy(*PAGE, "run").agg(F.reverse(F.array_sort(F.collect_set("y"))).alias("ys"))
-    start = F.struct(F.array().cast("array<struct<y:float,anchor:float>>").alias("done"), F.lit(None).cast("float").alias("anchor"))
-
-    def step(a, y):
-        same = F.coalesce(F.abs((a["anchor"] - y).cast("float")) <= _float(LINE_TOLERANCE), F.lit(False))
-        anchor = F.when(same, a["anchor"]).otherwise(y)
-        return F.struct(F.concat(a["done"], F.array(F.struct(y.alias("y"), anchor.alias("anchor")))).alias("done"), anchor.alias("anchor"))
-
-    folded = ys.select(*PAGE, F.explode(F.aggregate("ys", start, step)["done"]).alias("f"))
-    per_page = folded.groupBy(*PAGE).agg(F.map_from_entries(F.collect_list("f")).alias("anchors"))
-    found = seen.join(per_page, list(PAGE), "left").withColumn("anchor", F.when(F.col("high"), F.element_at("anchors", F.col("y"))).otherwise(F.col("top")))
-    return found.drop("starts", "run", "top", "high", "anchors")
+    upto = down.rowsBetween(Window.unboundedPreceding, 0)
+    seen = visible(glyphs).withColumn("above", F.lag("y").over(down))
+    starts = F.coalesce((F.col("above") - F.col("y")).cast("float") > tolerance, F.lit(True))
+    seen = seen.withColumn("top", F.last(F.when(starts, F.col("y")), ignorenulls=True).over(upto))
+    low = (F.col("top") - F.col("y")).cast("float") > tolerance
+    seen = seen.withColumn("lows", F.collect_set(F.when(low, F.col("y"))).over(upto))
+    within = F.filter("lows", lambda v: (v < F.col("top")) & (v >= F.col("y")))
+    folded = F.aggregate(F.reverse(F.array_sort(within)), F.col("top"), lambda anchor, v: F.when((anchor - v).cast("float") > tolerance, v).otherwise(anchor))
+    return seen.withColumn("anchor", F.when(low, folded).otherwise(F.col("top"))).drop("above", "top", "lows")
 
 
 def _in_line(glyphs: DataFrame) -> DataFrame:
-    """Lines numbered from the top (gaps possible) and glyphs with their word's number."""
+    """Glyphs in the order of their line, with the number of their word."""
+    across = Window.partitionBy(*PAGE, "anchor").orderBy(F.asc("x"), F.desc("y"), F.asc("seq"))
     lined = with_lines(glyphs)
-    lined = lined.withColumn("line", F.dense_rank().over(Window.partitionBy(*PAGE).orderBy(F.desc("anchor"))))
-    across = Window.partitionBy(*PAGE, "line").orderBy(F.asc("x"), F.desc("y"), F.asc("seq"))
     space = F.coalesce(F.col("unicode") == " ", F.lit(False))
     prev_space = F.lag(space).over(across)
     wide = (F.col("x") - F.lag("x").over(across)).cast("float") > (F.lag("font_size").over(across) * _float(WORD_GAP)).cast("float")
@@ -79,12 +71,12 @@ def words(glyphs: DataFrame) -> DataFrame:
     char = F.when(white, F.lit("")).otherwise(F.coalesce("unicode", placeholder(F.col("glyph_id"))))
     marks = _in_line(glyphs).where("not is_space").withColumns({"ch": char, "white": white})
     box = [F.when(~F.col("white"), F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1")]
-    marks = marks.select(*PAGE, "line", "word", "pos", "ch", "font_size", "baseline_y", *box)
+    marks = marks.select(*PAGE, "anchor", "word", "pos", "ch", "font_size", "baseline_y", *box)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ch"))), lambda g: g["ch"]), "")
-    found = marks.groupBy(*PAGE, "line", "word").agg(text.alias("text"), *bounds(), F.count("*").alias("n_glyphs"), F.max("font_size").alias("max_font_size"), F.first("baseline_y").alias("baseline_y"))
+    found = marks.groupBy(*PAGE, "anchor", "word").agg(text.alias("text"), *bounds(), F.count("*").alias("n_glyphs"), F.max("font_size").alias("max_font_size"), F.first("baseline_y").alias("baseline_y"))
     found = found.where("text <> ''")
-    number = lambda *by, key=(): F.dense_rank().over(Window.partitionBy(*PAGE, *key).orderBy(*by)) - 1
-    return found.withColumn("line_no", number("line")).withColumn("word_no", number("word", key=("line",))).drop("line", "word")
+    number = lambda by, *key: F.dense_rank().over(Window.partitionBy(*PAGE, *key).orderBy(by)) - 1
+    return found.withColumn("line_no", number(F.desc("anchor"))).withColumn("word_no", number("word", "line_no")).drop("anchor", "word")
 
 
 def lines(found: DataFrame) -> DataFrame:

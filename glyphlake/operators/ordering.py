@@ -2,7 +2,7 @@
 
 A page is cut at all horizontal gaps at once: bands are islands in a window over descending tops.
 A band with one block is done.  Only bands with several blocks that overlap in height need the
-recursive rule; they go to a grouped Arrow function, one call for each band.
+recursive rule, in an Arrow function over arrays of boxes, which all other bands leave empty.
 """
 
 from __future__ import annotations
@@ -71,22 +71,30 @@ def cut_order(boxes: list[tuple[float, float, float, float]]) -> list[int]:
     return out
 
 
+def _ranks(boxes: pd.Series) -> pd.Series:
+    """Places of the boxes (x0, y0, x1, y1) of each band; null for a band that needs none."""
+
+    def of(band) -> list[int] | None:
+        if band is None:
+            return None
+        rank = [0] * len(band)
+        for place, i in enumerate(cut_order([tuple(map(float, b)) for b in band])):
+            rank[i] = place
+        return rank
+
+    return boxes.map(of)
+
+
 def reading_order(blocks: DataFrame) -> DataFrame:
     """``blocks`` with ``reading_order`` from 0 within the page."""
-    banded = with_bands(blocks)
-    schema = "doc_id long, page int, block_no int, rank int"
-
-    def rank(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("block_no")
-        order = cut_order(list(group[["x0", "y0", "x1", "y1"]].astype(float).itertuples(index=False, name=None)))
-        at = pd.Series(range(len(order)), index=[int(group["block_no"].iloc[i]) for i in order])
-        return pd.DataFrame({"doc_id": group["doc_id"], "page": group["page"], "block_no": group["block_no"], "rank": group["block_no"].map(at)})
-
-    keys = [*PAGE, "block_no"]
-    crowded = banded.where("n_band > 1").select(*PAGE, "band", F.col("block_no").cast("int").alias("block_no"), "x0", "y0", "x1", "y1").groupBy(*PAGE, "band").applyInPandas(rank, schema)
-    ranked = banded.join(crowded, keys, "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
+    columns = blocks.columns
+    others = [c for c in columns if c not in (*PAGE, "block_no")]
+    banded = with_bands(blocks).groupBy(*PAGE, "band").agg(F.array_sort(F.collect_list(F.struct("block_no", *others))).alias("bs"))
+    boxes = F.when(F.size("bs") > 1, F.transform("bs", lambda b: F.array(b["x0"], b["y0"], b["x1"], b["y1"])))
+    ranks = F.pandas_udf(_ranks, "array<int>")(boxes)
+    flat = banded.withColumn("ranks", ranks).select(*PAGE, "band", "ranks", F.posexplode("bs").alias("i", "b")).select(*PAGE, "band", "b.*", F.coalesce(F.get("ranks", F.col("i")), F.lit(0)).alias("rank"))
     order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("band", "rank")) - 1
-    return ranked.withColumn("reading_order", order).drop("band", "n_band", "rank")
+    return flat.withColumn("reading_order", order).select(*columns, "reading_order")
 
 
 def page_text(blocks: DataFrame) -> DataFrame:
