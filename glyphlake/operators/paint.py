@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .content import Name, operations
+from .truetype import TrueType
 
 # Pixels per point of a rendered page and an overlay; the thinnest stroke in pixels.
 SCALE = 2.0
@@ -87,7 +88,7 @@ class Painter:
     """Runs operations and hands every painted path to ``emit``.
 
     ``fonts`` maps a name to a dictionary with kind, and for type3 fonts font_matrix, char_procs
-    and widths; for others two_byte.
+    and widths; for truetype fonts outlines and two_byte.
     """
 
     _PAINTS = {"f": (1, 0, 0, 0), "F": (1, 0, 0, 0), "f*": (1, 0, 1, 0), "S": (0, 1, 0, 0), "s": (0, 1, 0, 1), "B": (1, 1, 0, 0), "b": (1, 1, 0, 1), "B*": (1, 1, 1, 0), "b*": (1, 1, 1, 1)}
@@ -176,10 +177,33 @@ class Painter:
                     self.runs = saved
                 self.advance(font["widths"].get(code, 0.0) * matrix[0] * self.size + self.chars)
             return
-        n = -(-len(data) // 2) if font and font.get("two_byte") else len(data)
-        for _ in range(n):
+        wide = bool(font and font.get("two_byte"))
+        codes = [data[i] << 8 | (data[i + 1] if i + 1 < len(data) else 0) for i in range(0, len(data), 2)] if wide else data
+        program = font.get("outlines") if font else None
+        for code in codes:
+            if program is not None and program.units_per_em:
+                self.draw(program, code)
             self.advance(DEFAULT_ADVANCE * self.size + self.chars)
 
+    def draw(self, program: TrueType, glyph: int) -> None:
+        """Fill a glyph's outline in the current colour; the code is the glyph's number."""
+        em = 1 / program.units_per_em
+        m = mul(mul(mul(self.g.ctm, self.tm), (self.size * self.scale / 100, 0.0, 0.0, self.size, 0.0, self.rise)), (em, 0.0, 0.0, em, 0.0, 0.0))
+        saved, self.runs = self.runs, []
+        for start, steps in program.outline(glyph):
+            self.move(start)
+            for control, end in steps:
+                if control is None:
+                    self.line(end)
+                else:
+                    third = lambda p, q=control: tuple(p[k] + (q[k] - p[k]) * 2 / 3 for k in (0, 1))
+                    self.curve(third(self.at), third(end), end)
+            self.close()
+        runs = [([(m[0] * x + m[2] * y + m[4], m[1] * x + m[3] * y + m[5]) for x, y in run], True) for run, _ in self.runs if len(run) > 1]
+        self.runs = saved
+        if runs:
+            self.emit("glyph", Path(runs, self.g.fill, None, False, 0.0))
+
     def apply(self, op: str, o: list[Any]) -> None:
         n, v = len(o), [real(x) for x in o]
         match op:
@@ -266,7 +290,7 @@ def fonts_by_name(rows: list[dict] | None) -> dict[str, dict]:
     """Font rows of a page, maps as dictionaries."""
     out = {}
     for r in rows or []:
-        out[r["font_name"]] = {"kind": r["kind"], "two_byte": bool(r["two_byte"]), "font_matrix": r["font_matrix"] or [0.001, 0, 0, 0.001, 0, 0], "char_procs": dict(r["char_procs"] or ()), "widths": dict(r["widths"] or ())}
+        out[r["font_name"]] = {"kind": r["kind"], "two_byte": bool(r["two_byte"]), "font_matrix": r["font_matrix"] or [0.001, 0, 0, 0.001, 0, 0], "char_procs": dict(r["char_procs"] or ()), "widths": dict(r["widths"] or ()), "outlines": TrueType(r["program"]) if r["kind"] == "truetype" and r["program"] else None}
     return out
 
 

@@ -1,6 +1,7 @@
 """Files, cross-reference tables, listings, traces, painting, streams and the command line."""
 
 import json
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from glyphlake.operators import listing, paint, trace, xref
 from glyphlake.operators.cmap import page_cmap
 from glyphlake.operators.content import content_ops
 from glyphlake.operators.interpreter import interpret
+from glyphlake.operators.truetype import TrueType
 from glyphlake.plans.layout import PageLayout
 from glyphlake.sources import pdf
 from glyphlake.streaming import pages as streaming
@@ -121,6 +123,36 @@ def test_pixels():
     assert over.pixels.shape == (15, 15, 3) and over.png().startswith(b"\x89PNG")
 
 
+def font_program():
+    """A font of two glyphs: a square with a hole's worth of curve, and that glyph moved."""
+    flags = bytes([1, 1, 1, 0, 1])
+    points = [(0, 0), (100, 0), (100, 100), (50, 150), (0, 100)]
+    steps = [(b[0] - a[0], b[1] - a[1]) for a, b in zip([(0, 0), *points], points, strict=False)]
+    simple = struct.pack(">hhhhh", 1, 0, 0, 100, 150) + struct.pack(">HH", 4, 0) + flags + b"".join(struct.pack(">h", x) for x, _ in steps) + b"".join(struct.pack(">h", y) for _, y in steps)
+    simple += b"\0" * (-len(simple) % 4)
+    moved = struct.pack(">hhhhh", -1, 0, 0, 0, 0) + struct.pack(">HHhh", 1 | 2, 0, 200, 0)
+    moved += b"\0" * (-len(moved) % 4)
+    head = b"\0" * 18 + struct.pack(">H", 1000) + b"\0" * 30 + struct.pack(">hh", 1, 0)
+    tables = {b"glyf": simple + moved, b"head": head, b"loca": struct.pack(">LLL", 0, len(simple), len(simple) + len(moved))}
+    at, heads, body = 12 + 16 * len(tables), b"", b""
+    for tag, data in tables.items():
+        heads += struct.pack(">4sLLL", tag, 0, at + len(body), len(data))
+        body += data + b"\0" * (-len(data) % 4)
+    return struct.pack(">LHHHH", 0x10000, len(tables), 0, 0, 0) + heads + body
+
+
+def test_truetype():
+    font = TrueType(font_program())
+    start, steps = font.outline(0)[0]
+    assert font.units_per_em == 1000 and start == (0, 0)
+    assert steps == [(None, (100, 0)), (None, (100, 100)), ((50, 150), (0, 100)), (None, (0, 0))]
+    assert font.outline(1)[0][0] == (200, 0) and font.outline(7) == [] and TrueType(b"x").outline(0) == []
+    fonts = paint.fonts_by_name([{"font_name": "/F", "kind": "truetype", "two_byte": True, "font_matrix": None, "char_procs": None, "widths": None, "program": font_program()}])
+    pixels = paint.render_page(30, 30, b"BT /F 100 Tf 1 0 0 rg <00000001> Tj ET", fonts, scale=1.0).pixels
+    assert pixels[29, 5].tolist() == [255, 0, 0] and pixels[29, 15].tolist() == [255] * 3
+    assert 0 < pixels[18, 5, 1] < 255 or pixels[18, 5].tolist() == [255, 0, 0]
+
+
 def test_stream_of_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.pdf").write_bytes(pdf.build([STREAM]))
