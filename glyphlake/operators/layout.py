@@ -14,10 +14,17 @@ FONT, FONT_SIZE, PITCH, LEADING, GROUP, GAP = "/F1", 10.0, 6, 12, 5, 18
 LEFT, TOP = 72, 720
 
 
-def glyphs_of_text(docs: DataFrame) -> DataFrame:
-    """The glyph relation of (doc_id, page, text).  One narrow pass; nothing is shuffled."""
+def glyphs_of_text(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The glyph relation of (doc_id, page, text).
+
+    Texts are dealt by page before they are taken apart, so what is shuffled is text, a hundredth of
+    the glyphs' bytes, and the windows of the later stages find their pages in place.  The number
+    of partitions is fixed, as the small texts would else be gathered in a few tasks.
+    """
     page = F.col("page") if "page" in docs.columns else F.lit(0)
-    lines = docs.select("doc_id", page.cast("int").alias("page"), F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select("doc_id", page.cast("int").alias("page"), "text").repartition(n, "doc_id", "page")
+    lines = dealt.select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
     chars = lines.where("line <> ''").select("doc_id", "page", "ln", F.posexplode(F.split("line", "")).alias("i", "ch")).where("ch <> ''")
     fl = lambda c: c.cast("float")
     x, y = F.lit(LEFT) + PITCH * F.col("i"), F.lit(TOP) - LEADING * F.col("ln") - GAP * F.floor(F.col("ln") / GROUP)
