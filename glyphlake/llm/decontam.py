@@ -105,5 +105,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = THRESHOLD_PERCEN
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item, with all their columns."""
-    found = Workspace(docs.sparkSession, "decontam").write(leaks(docs, benchmark, percent).select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
-    return docs.join(_checked(found), F.col("doc_id").cast("long").eqNullSafe(F.col("leaked")), "left_anti")
+    mine = "_glyphlake_leaked_id"  # a name that no table has
+    found = Workspace(docs.sparkSession, "decontam").write(leaks(docs, benchmark, percent).select(F.col("doc_id").alias(mine)).distinct(), "leaked")
+    return docs.join(_checked(found), F.col("doc_id").cast("long").eqNullSafe(F.col(mine)), "left_anti")

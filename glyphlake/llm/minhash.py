@@ -302,11 +302,12 @@ def representatives(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFr
     Rows that repeat both doc_id and text count as one document, too; rows without doc_id stay.
     """
     ws = Workspace(docs.sparkSession, "minhash-kept")
-    found = ws.write(near_duplicates(docs, percent).select(F.col("doc_id").alias("id"), "kept"), "kept")
-    gone = found.where("not kept").select("id").distinct()
-    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id").cast("long") == F.col("id"), "left_anti")
-    again = found.where("id is not null").groupBy("id").count().where("count > 1").select("id")
+    mine = "_glyphlake_minhash_id"  # a name that no table has
+    found = ws.write(near_duplicates(docs, percent).select(F.col("doc_id").alias(mine), "kept"), "kept")
+    gone = found.where("not kept").select(mine).distinct()
+    same = F.col("doc_id").cast("long") == F.col(mine)
+    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left_anti")
+    again = found.where(F.col(mine).isNotNull()).groupBy(mine).count().where("count > 1").select(mine)
     if again.isEmpty():
         return left
-    same = F.col("doc_id").cast("long") == F.col("id")
     return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

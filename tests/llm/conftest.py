@@ -37,7 +37,7 @@ def rows():
 @pytest.fixture(scope="session")
 def docs(spark, rows):
     # columns whose names the operators use inside must not matter
-    return spark.createDataFrame([(*r, 1, "x", 2, [1]) for r in rows], DOCS + ", component_id int, row string, bands int, h array<int>").repartition(5)
+    return spark.createDataFrame([(*r, 1, "x", 2, [1], 3, 4) for r in rows], DOCS + ", component_id int, row string, bands int, h array<int>, id int, leaked int").repartition(5)
 
 
 @pytest.fixture(scope="session")

@@ -152,7 +152,7 @@ def test_decontamination(spark, docs, rows):
     for i, (_, t) in enumerate(items[:3] + items[6:]):
         w = t.split()
         extra += [(5000 + 10 * i, "pre " * 50 + t.upper() + " post " * 30), (5001 + 10 * i, " ".join(w[: max(5, len(w) * 85 // 100)])), (5002 + 10 * i, " ".join(w[: len(w) // 2])), (5003 + 10 * i, " ".join(rng.permutation(w)))]
-    table = docs.select("doc_id", "text").union(spark.createDataFrame([*extra, (6000, "too few"), (6001, "Too\tfew")], "doc_id long, text string"))
+    table = docs.select("doc_id", "text", "id", "leaked").union(spark.createDataFrame([(*x, 0, 0) for x in [*extra, (6000, "too few"), (6001, "Too\tfew")]], "doc_id long, text string, id int, leaked int"))
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = collections.Counter()
     for r in table.collect():
