@@ -187,7 +187,7 @@ def _across(open_: DataFrame, percent: int) -> DataFrame:
     A bucket is dealt into blocks of about BLOCK members and every two blocks meet in one run of
     rows, so a large bucket spreads over many tasks and no task holds more than two blocks.
     """
-    sized = open_.join(open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "key")
+    sized = open_.withColumn("blocks", F.ceil(F.col("members") / BLOCK))
     dealt = sized.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "rep", "component", "n", "side", "parity")
     parts = shuffle_partitions(open_.sparkSession)
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, bins_log2
     for n, salts in enumerate(MORE_CENTRES, 2):
         # buckets that still hold several components; a rep without links is its own
         placed = buckets.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select("key", "members")
         open_ = ws.write(placed.join(split, "key").join(sets.select("rep", "n", "parity"), "rep"), f"open-{n}")
         centres = open_.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("cn"), F.col("parity").alias("cparity"))
         if salts:
