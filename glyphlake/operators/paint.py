@@ -16,6 +16,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .content import Name, operations
 from .truetype import TrueType
@@ -428,3 +429,23 @@ def render(pages: DataFrame, scale: float = SCALE) -> DataFrame:
     """(doc_id, page, width, height, png) of (doc_id, page, width, height, content[, fonts])."""
     keep = [c for c in ("doc_id", "page", "width", "height", "content", "fonts") if c in pages.columns]
     return pages.select(*keep).mapInArrow(_png_rows(scale), "doc_id long, page int, width int, height int, png binary")
+
+
+def overlays(sizes: DataFrame, scale: float = OVERLAY_SCALE, **layers: DataFrame) -> DataFrame:
+    """(doc_id, page, png): the boxes of words, lines and blocks of each page over white.
+
+    ``sizes`` is (doc_id, page, width, height); a layer is any relation of doc_id, page and a box.
+    """
+    found = sizes.select("doc_id", "page", "width", "height")
+    for name in ("words", "lines", "blocks"):
+        if name in layers:
+            box = F.array(*(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")))
+            found = found.join(layers[name].groupBy("doc_id", "page").agg(F.collect_list(box).alias(name)), ["doc_id", "page"], "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            made = [render_overlay(r["width"], r["height"], {k: r.get(k) or [] for k in ("words", "lines", "blocks")}, scale) for r in rows]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r["doc_id"] for r in rows], pa.int64()), "page": pa.array([r["page"] for r in rows], pa.int32()), "png": pa.array([c and c.png() for c in made], pa.binary())})
+
+    return found.mapInArrow(run, "doc_id long, page int, png binary")

@@ -69,3 +69,17 @@ def dump(found: DataFrame, show_free: bool = False) -> DataFrame:
     shown = found if show_free else found.where("kind <> 'free' or obj <> 0")
     detail = F.when(F.col("kind") == "free", F.concat(F.lit("free      next="), F.col("next_free"))).otherwise(F.concat(F.lit("in-use    offset="), F.col("offset")))
     return shown.select("doc_id", "obj", F.concat(F.format_string("  %4d  %3d  ", "obj", "gen"), detail).alias("line"))
+
+
+def parse_events(files: DataFrame) -> DataFrame:
+    """(doc_id, seq, event, payload): what a reader of the tables meets, in order, as JSON.
+
+    One StartXRef, an XRefEntry for each object and one Trailer a file; files without a classic
+    table have none.
+    """
+    fine = located(files).where("error is null")
+    none = {"ignoreNullFields": "true"}
+    start = fine.select("doc_id", F.lit(0).cast("bigint").alias("seq"), F.lit("StartXRef").alias("event"), F.to_json(F.struct(F.col("xref_offset").alias("offset"))).alias("payload"))
+    entry = entries(files).select("doc_id", (F.col("obj") + 1).alias("seq"), F.lit("XRefEntry").alias("event"), F.to_json(F.struct("obj", "gen", "kind", "offset", "next_free"), none).alias("payload"))
+    last = trailers(files).select("doc_id", F.lit((1 << 62)).alias("seq"), F.lit("Trailer").alias("event"), F.to_json(F.struct("root_obj", "root_gen", "info_obj", "info_gen", "size", "prev"), none).alias("payload"))
+    return start.unionByName(entry).unionByName(last)

@@ -367,3 +367,15 @@ def _painted(spark: SparkSession, sf_dir: str) -> DataFrame:
 union all select p_partkey, 1, 'S', cast(p_partkey % 40 as double), 0.0::double, 100.0::double, cast(p_partkey % 60 + 1 as double), 3.0::double from part""")
 def paint_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paint.paint_paths(_painted(spark, sf_dir)).select("doc_id", "seq", "operator", "x0", "y0", "x1", "y1", "width")
+
+
+@query("""select o_orderkey as doc_id, e as event, n from (select o_orderkey, unnest(['StartXRef', 'XRefEntry', 'Trailer']) as e, unnest([1, o_custkey % 7 + 2, 1]) as n from orders)""")
+def parse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return xref.parse_events(_xref_files(spark, sf_dir)).groupBy("doc_id", "event").agg(F.count("payload").alias("n"))
+
+
+@query("""select conv_id as doc_id, count(*) as n_pages from conversations group by 1""")
+def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as files with a page for each turn, and read again."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    return pdf.page_counts(pdf.parse(pdf.write_files(layout.stream_of_text(turns))))

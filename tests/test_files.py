@@ -101,6 +101,16 @@ def test_trace_and_svg(spark):
     assert svg.count("<rect") == 3 and 'id="words"' in svg and svg.index("#44bb44") < svg.index("#cc0000")
 
 
+def test_parse_events_and_overlays(spark):
+    found = xref.parse_events(files(spark, MINIMAL, b"junk")).orderBy("seq").collect()
+    assert [(r.doc_id, r.event) for r in found] == [(0, "StartXRef"), (0, "XRefEntry"), (0, "XRefEntry"), (0, "Trailer")]
+    assert json.loads(found[2].payload) == {"obj": 1, "gen": 0, "kind": "in-use", "offset": 15}
+    sizes = pages(spark, b"BT /F1 12 Tf 10 20 Td (Hello) Tj ET", b"")
+    p = PageLayout(interpret(sizes))
+    made = {r.doc_id: bytes(r.png) for r in paint.overlays(sizes, words=p.words, lines=p.lines, blocks=p.blocks).collect()}
+    assert set(made) == {0, 1} and made[0] != made[1] and made[1].startswith(b"\x89PNG")
+
+
 def test_paint(spark):
     found = paint.paint_paths(pages(spark, b"0.5 g 10 10 20 5 re f* 0 0 0 1 k 1 0 0 RG 2 w 0 0 m 10 0 l 10 10 l s n 5 5 m f", b"/P scn 1 2 scn 0 0 m 1 1 2 2 3 3 c 4 4 5 5 v 6 6 7 7 y h B W n")).orderBy("doc_id", "seq").collect()
     assert [(r.operator, r.even_odd, r.fill, r.stroke) for r in found[:2]] == [("f*", True, [0.5] * 3, None), ("s", False, None, [1, 0, 0])]
