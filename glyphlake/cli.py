@@ -1,4 +1,4 @@
-"""Command line: extract, inspect xref, inspect stream, render and debug over PDF files."""
+"""Command line: extract, xref, stream, mapping, render and debug over PDF files."""
 
 from __future__ import annotations
 
@@ -29,10 +29,10 @@ def extract(spark: SparkSession, path: str, pages: list[int] | None):
 def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="glyphlake")
     commands = top.add_subparsers(dest="command", required=True)
-    for name in ("extract", "xref", "stream", "render", "debug"):
+    for name in ("extract", "xref", "stream", "mapping", "render", "debug"):
         p = commands.add_parser(name)
         p.add_argument("path")
-        if name in ("extract", "stream", "render", "debug"):
+        if name != "xref":
             p.add_argument("--page", type=int, default=0)
         if name == "extract":
             p.add_argument("--all", action="store_true")
@@ -56,6 +56,10 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "stream":
         for r in listing.rendered(listing.listing(content_ops(pdf.read(spark, a.path, pages=[a.page])))).toLocalIterator():
             print(r.text)
+    elif a.command == "mapping":
+        glyphs = _layout(pdf.read(spark, a.path, pages=[a.page], mode="FAILFAST")).glyphs
+        for r in glyphs.groupBy("font_name", "glyph_id", "unicode", "mapping_method").count().orderBy("font_name", "glyph_id").toLocalIterator():
+            print(f"{r.font_name}  {r.glyph_id:04X}  {r.unicode or '-'}  {r.mapping_method}  {r['count']}")
     else:
         pages = pdf.read(spark, a.path, pages=[a.page], mode="FAILFAST")
         if a.command == "render":

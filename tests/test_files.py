@@ -179,3 +179,8 @@ def test_files_and_command_line(spark, tmp_path, capsys):
     (tmp_path / "a.pdf").write_bytes(pdf.build([STREAM, b""]))
     found = cli.extract(spark, str(tmp_path), None).orderBy("page").collect()
     assert [r.text for r in found] == ["Hello PDF", ""]
+    for command in (["extract", "--all"], ["xref", "--free"], ["stream"], ["mapping"], ["render", "--dpi", "0.2", "--out", f"{tmp_path}/r.png"], ["debug", "--dpi", "0.2", "--out", f"{tmp_path}/d.png"]):
+        assert cli.main([command[0], str(tmp_path), *command[1:]]) == 0
+    out = capsys.readouterr().out
+    assert "Hello PDF" in out and "7 in-use   1 free" in out and "┌ BT" in out and "/F1  0048  H  Heuristic  1" in out
+    assert (tmp_path / "r.png").read_bytes().startswith(b"\x89PNG") and (tmp_path / "d.png").exists()
