@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bound_batches
+from .storage import bound_batches, held
 
 # Fixed values of the contract: phrases with their labels, and what separates words.
 BASE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -146,7 +146,7 @@ def _places(stream: str, phrase: str) -> list[int]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    scanner = Scanner()
+    scanner = held("licenses", Scanner)
     for batch in batches:
         rows = []
         for text in batch.column(1).to_pylist():

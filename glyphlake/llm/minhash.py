@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import WordHashes, mix, shingle_set
-from .storage import Workspace, shuffle_partitions
+from .storage import Workspace, held, shuffle_partitions
 
 THRESHOLD_PERCENT = 75
 BINS_LOG2 = 7
@@ -94,7 +94,7 @@ def _may_reach(percent: int) -> F.Column:
 
 def _signatures(bins_log2: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, orders = WordHashes(), _bin_orders(1 << bins_log2)
+        memo, orders = held("words", WordHashes), _bin_orders(1 << bins_log2)
         n_bands = (1 << bins_log2) // rows
         for batch in batches:
             ids, sizes, hi, lo, bands, parity, ends = [], [], [], [], [], [], [0]
@@ -123,7 +123,7 @@ def _signatures(bins_log2: int, rows: int):
 
 def _alike(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, last, kept = WordHashes(), None, None
+        memo, last, kept = held("words", WordHashes), None, None
         for batch in batches:
             a, b = [], []
             for ida, idb, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):

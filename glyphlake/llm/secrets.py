@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bound_batches
+from .storage import bound_batches, held
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 MIN_CHARS = 20
@@ -92,7 +92,7 @@ def masked(text: str, found: list[tuple[int, int, int]], mask: str = MASK) -> st
 
 def _scan(max_ratio: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        random = RandomStrings(max_ratio=max_ratio)
+        random = held(f"random strings {max_ratio}", lambda: RandomStrings(max_ratio=max_ratio))
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
@@ -124,7 +124,7 @@ def scan(docs: DataFrame, max_ratio: float = MAX_RATIO) -> DataFrame:
 
 def _mask(max_ratio: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        random = RandomStrings(max_ratio=max_ratio)
+        random = held(f"random strings {max_ratio}", lambda: RandomStrings(max_ratio=max_ratio))
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             clean = [None if t is None else masked(t, spans(t, t.encode().lower(), random)) for t in texts.to_pylist()]

@@ -7,7 +7,10 @@ lost executor costs its running tasks, not the finished work.
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +63,19 @@ def bound_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
         spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+_held: dict[str, Any] = {}
+
+
+def held(key: str, make: Callable[[], Any]) -> Any:
+    """A helper that a worker process keeps for its next tasks: a tokenizer or a memo.
+
+    A process holds one at a time, so workers that serve several operators in turn do not add up
+    the helpers of all of them.
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]

@@ -16,7 +16,6 @@ use survive and memory is bounded.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -25,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .storage import held
+
 _MEMO_PIECES = 250_000
 #: Characters of texts that are cut and encoded together.
 _TOGETHER = 4 << 20
@@ -169,7 +170,6 @@ class Encoder:
             yield self.memo.encode(text) if c is None else raw[a * width : b * width]
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(vocabulary: str) -> Encoder:
     """One encoder for each worker process, whose memo serves all its tasks."""
-    return Encoder(vocabulary)
+    return held(f"encoder {vocabulary}", lambda: Encoder(vocabulary))
