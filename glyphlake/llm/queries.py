@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, html_extract, licenses, minhash, packing, quality, secrets, sharding, token_files, urls
 
@@ -80,7 +81,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(x,) for x in urls.LISTED], "entry string")
+    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, urls.LISTED))).alias("entry"))
     return urls.judge(table(spark, sf_dir, "pages"), listed)
 
 
