@@ -3,14 +3,16 @@
 A text is reduced to its lower-cased words, joined by single spaces.  A rule is a regular
 expression over that stream with a label, a priority and a relevance.  The rules are the product
 of license families and sentence templates.  One Aho-Corasick pass finds the keywords in the
-stream; only rules all of whose keywords occur are run.  Of the detections, in order of priority
-and then length, one whose interval lies inside that of an earlier one is suppressed.
+stream; only rules whose gate it opens are run.  A gate is read off the rule's pattern, so every
+match passes it.  Of the detections, in order of priority and then length, one whose interval lies
+inside that of an earlier one is suppressed.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from re import _parser
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -24,84 +26,108 @@ BASE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _FOLD = bytes.maketrans(_SEPARATORS + b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b" " * len(_SEPARATORS) + b"abcdefghijklmnopqrstuvwxyz")
 
+#: Shorter literals do not gate.
+MIN_KEYWORD = 3
 _V = r"(?:version |ver |v ?)?"
-#: label, keyword, names, SPDX words, URL words
+#: label, names, SPDX words, URL words
 FAMILIES = (
-    ("mit", "mit", r"(?:mit|expat)", r"mit", r"opensource org licenses mit"),
-    ("apache-1.1", "apache", rf"apache (?:software )?(?:license )?{_V}1 1", r"apache 1 1", r"apache org licenses license 1 1"),
-    ("apache-2", "apache", rf"apache (?:software )?(?:license )?{_V}2(?: 0)?", r"apache 2 0", r"apache org licenses license 2 0"),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", r"bsd 2 clause", r"opensource org licenses bsd 2 clause"),
-    ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)", r"bsd 3 clause", r"opensource org licenses bsd 3 clause"),
-    ("bsd", "bsd", r"bsd(?: style)?", r"bsd", r"opensource org licenses bsd license"),
-    ("isc", "isc", r"isc", r"isc", r"opensource org licenses isc"),
-    ("zlib", "zlib", r"zlib(?: libpng)?", r"zlib", r"opensource org licenses zlib"),
-    ("boost-1.0", "boost", rf"boost software(?: license)?(?: {_V}1 0)?", r"bsl 1 0", r"boost org license 1 0"),
-    ("gpl-1", "gnu", rf"(?:gnu )?(?:general public license|gpl) {_V}1(?: 0)?", r"gpl 1 0(?: only| or later)?", r"gnu org licenses old licenses gpl 1 0"),
-    ("gpl-2", "gnu", rf"(?:gnu )?(?:general public license|gpl) {_V}2(?: 0)?", r"gpl 2 0(?: only| or later)?", r"gnu org licenses (?:old licenses )?gpl 2 0"),
-    ("gpl-3", "gnu", rf"(?:gnu )?(?:general public license|gpl) {_V}3(?: 0)?", r"gpl 3 0(?: only| or later)?", r"gnu org licenses gpl 3 0"),
-    ("gpl", "gnu", r"gnu (?:general public license|gpl)", r"gpl", r"gnu org licenses gpl"),
-    ("lgpl-2", "gnu", rf"(?:gnu )?(?:(?:library|lesser) general public license|lgpl) {_V}2(?: 0)?", r"lgpl 2 0(?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 0"),
-    ("lgpl-2.1", "gnu", rf"(?:gnu )?(?:lesser general public license|lgpl) {_V}2 1", r"lgpl 2 1(?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 1"),
-    ("lgpl-3", "gnu", rf"(?:gnu )?(?:lesser general public license|lgpl) {_V}3(?: 0)?", r"lgpl 3 0(?: only| or later)?", r"gnu org licenses lgpl 3 0"),
-    ("lgpl", "gnu", r"gnu (?:(?:library|lesser) general public license|lgpl)", r"lgpl", r"gnu org licenses lgpl"),
-    ("agpl-3", "gnu", rf"(?:gnu )?(?:affero general public license|agpl) {_V}3(?: 0)?", r"agpl 3 0(?: only| or later)?", r"gnu org licenses agpl 3 0"),
-    ("agpl", "gnu", r"gnu (?:affero general public license|agpl)", r"agpl", r"gnu org licenses agpl"),
-    ("gfdl", "gnu", rf"gnu (?:free documentation license|fdl)(?: {_V}1 [123])?", r"gfdl 1 [123](?: only| or later)?", r"gnu org licenses fdl"),
-    ("mpl-1.1", "mozilla", rf"mozilla public license {_V}1 1", r"mpl 1 1", r"mozilla org mpl 1 1"),
-    ("mpl-2", "mozilla", rf"mozilla public license {_V}2(?: 0)?", r"mpl 2 0", r"mozilla org mpl 2 0"),
-    ("epl-1", "eclipse", rf"eclipse public license {_V}1(?: 0)?", r"epl 1 0", r"eclipse org legal epl v10"),
-    ("epl-2", "eclipse", rf"eclipse public license {_V}2(?: 0)?", r"epl 2 0", r"eclipse org legal epl 2 0"),
-    ("cddl-1", "common", rf"common development and distribution license(?: {_V}1 [01])?", r"cddl 1 [01]", r"opensource org licenses cddl 1 0"),
-    ("cpl-1", "common", rf"common public license(?: {_V}1 0)?", r"cpl 1 0", r"opensource org licenses cpl 1 0"),
-    ("artistic-1", "artistic", r"(?:perl )?artistic(?: license 1 0)?", r"artistic 1 0", r"opensource org licenses artistic license 1 0"),
-    ("artistic-2", "artistic", rf"artistic license {_V}2(?: 0)?", r"artistic 2 0", r"opensource org licenses artistic license 2 0"),
-    ("python-2", "python", rf"python software foundation license(?: {_V}2)?", r"(?:python|psf) 2 0", r"docs python org license"),
-    ("unlicense", "unlicense", r"unlicense", r"unlicense", r"unlicense org"),
-    ("wtfpl", "wtfpl", r"wtfpl", r"wtfpl", r"wtfpl net"),
-    ("eupl-1.2", "european", rf"european union public licen[cs]e(?: {_V}1 2)?", r"eupl 1 2", r"joinup ec europa eu software page eupl"),
-    ("ofl-1.1", "sil", rf"sil open font license(?: {_V}1 1)?", r"ofl 1 1", r"scripts sil org ofl"),
-    ("odbl-1", "open", rf"open database license(?: {_V}1 0)?", r"odbl 1 0", r"opendatacommons org licenses odbl"),
-    ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?", r"cc0 1 0", r"creativecommons org publicdomain zero 1 0"),
-    ("cc-by", "creative", r"creative commons attribution(?: [1-4] [05])?(?: international| unported)?", r"cc by [1-4] [05]", r"creativecommons org licenses by [1-4]"),
-    ("cc-by-sa", "creative", r"creative commons attribution share ?alike(?: [1-4] [05])?(?: international| unported)?", r"cc by sa [1-4] [05]", r"creativecommons org licenses by sa"),
-    ("cc-by-nd", "creative", r"creative commons attribution no ?deriv(?:ative)?s(?: [1-4] [05])?(?: international| unported)?", r"cc by nd [1-4] [05]", r"creativecommons org licenses by nd"),
-    ("cc-by-nc", "creative", r"creative commons attribution non ?commercial(?: [1-4] [05])?(?: international| unported)?", r"cc by nc [1-4] [05]", r"creativecommons org licenses by nc [1-4]"),
-    ("cc-by-nc-sa", "creative", r"creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?(?: international| unported)?", r"cc by nc sa [1-4] [05]", r"creativecommons org licenses by nc sa"),
-    ("cc-by-nc-nd", "creative", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: [1-4] [05])?(?: international| unported)?", r"cc by nc nd [1-4] [05]", r"creativecommons org licenses by nc nd"),
-    ("all-rights-reserved", "reserved", r"all rights reserved", r"licenseref all rights reserved", r"all rights reserved terms"),
+    ("mit", r"(?:mit|expat)", r"mit", r"opensource org licenses mit"),
+    ("apache-1.1", rf"apache (?:software )?(?:license )?{_V}1 1", r"apache 1 1", r"apache org licenses license 1 1"),
+    ("apache-2", rf"apache (?:software )?(?:license )?{_V}2(?: 0)?", r"apache 2 0", r"apache org licenses license 2 0"),
+    ("bsd-2-clause", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", r"bsd 2 clause", r"opensource org licenses bsd 2 clause"),
+    ("bsd-3-clause", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)", r"bsd 3 clause", r"opensource org licenses bsd 3 clause"),
+    ("bsd", r"bsd(?: style)?", r"bsd", r"opensource org licenses bsd license"),
+    ("isc", r"isc", r"isc", r"opensource org licenses isc"),
+    ("zlib", r"zlib(?: libpng)?", r"zlib", r"opensource org licenses zlib"),
+    ("boost-1.0", rf"boost software(?: license)?(?: {_V}1 0)?", r"bsl 1 0", r"boost org license 1 0"),
+    ("gpl-1", rf"(?:gnu )?(?:general public license|gpl) {_V}1(?: 0)?", r"gpl 1 0(?: only| or later)?", r"gnu org licenses old licenses gpl 1 0"),
+    ("gpl-2", rf"(?:gnu )?(?:general public license|gpl) {_V}2(?: 0)?", r"gpl 2 0(?: only| or later)?", r"gnu org licenses (?:old licenses )?gpl 2 0"),
+    ("gpl-3", rf"(?:gnu )?(?:general public license|gpl) {_V}3(?: 0)?", r"gpl 3 0(?: only| or later)?", r"gnu org licenses gpl 3 0"),
+    ("gpl", r"gnu (?:general public license|gpl)", r"gpl", r"gnu org licenses gpl"),
+    ("lgpl-2", rf"(?:gnu )?(?:(?:library|lesser) general public license|lgpl) {_V}2(?: 0)?", r"lgpl 2 0(?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 0"),
+    ("lgpl-2.1", rf"(?:gnu )?(?:lesser general public license|lgpl) {_V}2 1", r"lgpl 2 1(?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 1"),
+    ("lgpl-3", rf"(?:gnu )?(?:lesser general public license|lgpl) {_V}3(?: 0)?", r"lgpl 3 0(?: only| or later)?", r"gnu org licenses lgpl 3 0"),
+    ("lgpl", r"gnu (?:(?:library|lesser) general public license|lgpl)", r"lgpl", r"gnu org licenses lgpl"),
+    ("agpl-3", rf"(?:gnu )?(?:affero general public license|agpl) {_V}3(?: 0)?", r"agpl 3 0(?: only| or later)?", r"gnu org licenses agpl 3 0"),
+    ("agpl", r"gnu (?:affero general public license|agpl)", r"agpl", r"gnu org licenses agpl"),
+    ("gfdl", rf"gnu (?:free documentation license|fdl)(?: {_V}1 [123])?", r"gfdl 1 [123](?: only| or later)?", r"gnu org licenses fdl"),
+    ("mpl-1.1", rf"mozilla public license {_V}1 1", r"mpl 1 1", r"mozilla org mpl 1 1"),
+    ("mpl-2", rf"mozilla public license {_V}2(?: 0)?", r"mpl 2 0", r"mozilla org mpl 2 0"),
+    ("epl-1", rf"eclipse public license {_V}1(?: 0)?", r"epl 1 0", r"eclipse org legal epl v10"),
+    ("epl-2", rf"eclipse public license {_V}2(?: 0)?", r"epl 2 0", r"eclipse org legal epl 2 0"),
+    ("cddl-1", rf"common development and distribution license(?: {_V}1 [01])?", r"cddl 1 [01]", r"opensource org licenses cddl 1 0"),
+    ("cpl-1", rf"common public license(?: {_V}1 0)?", r"cpl 1 0", r"opensource org licenses cpl 1 0"),
+    ("artistic-1", r"(?:perl )?artistic(?: license 1 0)?", r"artistic 1 0", r"opensource org licenses artistic license 1 0"),
+    ("artistic-2", rf"artistic license {_V}2(?: 0)?", r"artistic 2 0", r"opensource org licenses artistic license 2 0"),
+    ("python-2", rf"python software foundation license(?: {_V}2)?", r"(?:python|psf) 2 0", r"docs python org license"),
+    ("unlicense", r"unlicense", r"unlicense", r"unlicense org"),
+    ("wtfpl", r"wtfpl", r"wtfpl", r"wtfpl net"),
+    ("eupl-1.2", rf"european union public licen[cs]e(?: {_V}1 2)?", r"eupl 1 2", r"joinup ec europa eu software page eupl"),
+    ("ofl-1.1", rf"sil open font license(?: {_V}1 1)?", r"ofl 1 1", r"scripts sil org ofl"),
+    ("odbl-1", rf"open database license(?: {_V}1 0)?", r"odbl 1 0", r"opendatacommons org licenses odbl"),
+    ("cc0-1.0", r"cc0(?: 1 0)?(?: universal)?", r"cc0 1 0", r"creativecommons org publicdomain zero 1 0"),
+    ("cc-by", r"creative commons attribution(?: [1-4] [05])?(?: international| unported)?", r"cc by [1-4] [05]", r"creativecommons org licenses by [1-4]"),
+    ("cc-by-sa", r"creative commons attribution share ?alike(?: [1-4] [05])?(?: international| unported)?", r"cc by sa [1-4] [05]", r"creativecommons org licenses by sa"),
+    ("cc-by-nd", r"creative commons attribution no ?deriv(?:ative)?s(?: [1-4] [05])?(?: international| unported)?", r"cc by nd [1-4] [05]", r"creativecommons org licenses by nd"),
+    ("cc-by-nc", r"creative commons attribution non ?commercial(?: [1-4] [05])?(?: international| unported)?", r"cc by nc [1-4] [05]", r"creativecommons org licenses by nc [1-4]"),
+    ("cc-by-nc-sa", r"creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?(?: international| unported)?", r"cc by nc sa [1-4] [05]", r"creativecommons org licenses by nc sa"),
+    ("cc-by-nc-nd", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: [1-4] [05])?(?: international| unported)?", r"cc by nc nd [1-4] [05]", r"creativecommons org licenses by nc nd"),
+    ("all-rights-reserved", r"all rights reserved", r"licenseref all rights reserved", r"all rights reserved terms"),
 )
-#: pattern with {name}, {spdx} or {url}; keyword; priority; relevance
+#: pattern with {name}, {spdx} or {url}; priority; relevance
 TEMPLATES = (
-    (r"spdx license identifier {spdx}", "spdx", 100, 1.0),
-    (r"(?:https? )?(?:www )?{url}", "org", 90, 0.95),
-    (r"(?:licensed|released|distributed|published|available|provided|covered|offered) (?:to you )?(?:under|by|with) (?:the |an |a )?(?:terms (?:and conditions )?of (?:the )?)?{name}(?: licen[cs]e)?", "under", 80, 0.9),
-    (r"(?:under|subject to|according to|in accordance with) (?:the )?terms (?:and conditions )?of (?:the )?{name}(?: licen[cs]e)?", "terms", 70, 0.85),
-    (r"(?:licen[cs]e|licen[cs]ed|licen[cs]ing) (?:is |as |type |name |the )?{name}", "licens", 60, 0.7),
-    (r"(?:the |a )?{name} (?:style |like )?licen[cs]es?", "licens", 50, 0.6),
-    (r"copyright (?:c )?(?:[12][0-9]{{3}} )(?:[^ ]+ ){{1,8}}?{name}", "copyright", 40, 0.5),
+    (r"spdx license identifier {spdx}", 100, 1.0),
+    (r"(?:https? )?(?:www )?{url}", 90, 0.95),
+    (r"(?:licensed|released|distributed|published|available|provided|covered|offered) (?:to you )?(?:under|by|with) (?:the |an |a )?(?:terms (?:and conditions )?of (?:the )?)?{name}(?: licen[cs]e)?", 80, 0.9),
+    (r"(?:under|subject to|according to|in accordance with) (?:the )?terms (?:and conditions )?of (?:the )?{name}(?: licen[cs]e)?", 70, 0.85),
+    (r"(?:licen[cs]e|licen[cs]ed|licen[cs]ing) (?:is |as |type |name |the )?{name}", 60, 0.7),
+    (r"(?:the |a )?{name} (?:style |like )?licen[cs]es?", 50, 0.6),
+    (r"copyright (?:c )?(?:[12][0-9]{{3}} )(?:[^ ]+ ){{1,8}}?{name}", 40, 0.5),
 )
 
 
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keywords: frozenset[str]
+    gate: tuple[frozenset[str], ...]
     pattern: re.Pattern[str]
     priority: int
     relevance: float
 
 
+def _gate(parsed) -> list[frozenset[str]]:
+    """Sets of literals of a parsed pattern; every match contains one of each set.
+
+    What is not a literal, a group, a choice or a repetition only ends a literal.
+    """
+    gate, run = [], ""
+    for op, value in [*parsed, (None, None)]:
+        if op is _parser.LITERAL:
+            run += chr(value)
+            continue
+        if len(run) >= MIN_KEYWORD:
+            gate.append(frozenset({run}))
+        run = ""
+        if op is _parser.SUBPATTERN:
+            gate += _gate(value[3])
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT, _parser.POSSESSIVE_REPEAT) and value[0] > 0:
+            gate += _gate(value[2])
+        elif op is _parser.BRANCH:
+            # of each alternative the set with the longest least literal
+            sets = [max(_gate(x), key=lambda c: min(map(len, c)), default=None) for x in value[1]]
+            if all(sets):
+                gate.append(frozenset().union(*sets))
+    return gate
+
+
 def build_rules(families=FAMILIES, templates=TEMPLATES) -> list[Rule]:
     """One rule for each family and template, the strongest first."""
-    other = {"gnu": {"gpl", "gnu", "lgpl", "agpl", "general"}, "mit": {"mit", "expat"}, "mozilla": {"mozilla", "mpl"}, "eclipse": {"eclipse", "epl"}, "creative": {"creative", "creativecommons", "cc"}}
     rules = []
-    for template, keyword, priority, relevance in templates:
-        for label, key, name, spdx, url in families:
-            words = {key} if keyword not in ("spdx", "org") else set()
-            # where a family goes by several words the template's keyword gates alone
-            words = words if key not in other or keyword in ("spdx", "org") else set()
-            body = template.format(name=f"(?:{name})", spdx=f"(?:{spdx})", url=f"(?:{url})")
-            rules.append(Rule(label, frozenset(words | {keyword}), re.compile(f" {body}(?= )"), priority, relevance))
+    for template, priority, relevance in templates:
+        for label, name, spdx, url in families:
+            pattern = f" {template.format(name=f'(?:{name})', spdx=f'(?:{spdx})', url=f'(?:{url})')}(?= )"
+            gate = tuple(dict.fromkeys(_gate(_parser.parse(pattern))))
+            rules.append(Rule(label, gate, re.compile(pattern), priority, relevance))
     return rules
 
 
@@ -113,16 +139,14 @@ class Scanner:
 
         self.rules = build_rules()
         self.automaton = ahocorasick.Automaton()
-        for word in {w for r in self.rules for w in r.keywords}:
+        for word in {w for r in self.rules for keywords in r.gate for w in keywords}:
             self.automaton.add_word(word, word)
         self.automaton.make_automaton()
 
     def detections(self, stream: str) -> list[tuple[int, int, Rule]]:
         """(start, end, rule) of what is left after suppression; offsets into the stream."""
         present = {w for _, w in self.automaton.iter(stream)}
-        if not present:
-            return []
-        found = [(m.start() + 1, m.end(), r) for r in self.rules if r.keywords <= present for m in r.pattern.finditer(stream)]
+        found = [(m.start() + 1, m.end(), r) for r in self.rules if not any(map(present.isdisjoint, r.gate)) for m in r.pattern.finditer(stream)]
         found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label))
         kept: list[tuple[int, int, Rule]] = []
         for a, b, r in found:
