@@ -10,15 +10,15 @@ All of this is grouped counts, combined map-side, so a hot host is spread by pat
 Second pass: each page drops what its markup declares not to be the article, then the branches of
 low importance, and joins the blocks that are left.  A branch is only pruned if the host's pages
 differ elsewhere: where they are copies of one page nothing tells template and article apart.
-Inside an article only containers with a class or an id are branches; its paragraphs and headings
-are text, however often they repeat.
+Article and main parts are a prior: inside them it takes a lower importance to prune a branch, and
+what stands outside goes only where they hold most of the text that is left.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 import xxhash
@@ -31,6 +31,8 @@ from .storage import Workspace
 MIN_IMPORTANCE = 0.2
 #: Pages of a host that must have a branch before it can be pruned.
 MIN_PAGES = 10
+#: Share of that importance below which a branch inside an article or main part is template.
+INSIDE_SHARE = 0.5
 #: Weight of a path in its ancestor's importance, for each level between them.
 DECAY = 0.9
 #: Rows of the pruned branches that are broadcast; more are joined by host.
@@ -49,8 +51,6 @@ _NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search
 _NOT_TEXT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login comment comments commentlist replies disqus social share sharing related recommended toolbar pagination pager masthead".split()
 )
-#: Plain text inside an article.
-_TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tr td th figure figcaption article main body html".split())
 
 
 class Page:
@@ -59,7 +59,6 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[tuple[str, str, bool, bool, bool]] = []  # path, text, in article, in main, declared
         self.children: dict[str, list[str]] = {}
-        self.has_article = self.has_main = False
         self._stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
         self._held: list[str] = []
         self._parse(source)
@@ -89,8 +88,6 @@ class Page:
             declared = tag == "article" and not words.isdisjoint({"comment", "comments", "ad", "ads", "advert", "promo", "related"})
         article = article or (tag == "article" and not declared) or found.get("itemprop") == "articleBody"
         main = main or tag == "main" or role == "main"
-        self.has_article |= article and not dropped
-        self.has_main |= main and not dropped
         self._stack.append((tag, f"{path}/{step}", article, main, dropped or declared))
 
     def _close(self, tags: tuple[str, ...], limits: tuple[str, ...]) -> None:
@@ -147,27 +144,28 @@ class Page:
                 self._open(tag, raw[:-1])
         self._flush()
 
-    def text(self, pruned: set[str]) -> str:
-        """The article: declared parts and pruned branches removed."""
-        kept = []
+    def text(self, pruned: Mapping[str, float], min_importance: float = MIN_IMPORTANCE) -> str:
+        """The article: declared parts and branches of low importance removed."""
+        left = []
         for path, text, article, main, declared in self.blocks:
-            if declared or (self.has_article and not article) or (not self.has_article and self.has_main and not main):
-                continue
-            if pruned and any(b in pruned for b in _branches(path, article or main)):
-                continue
-            kept.append(text)
-        return "\n\n".join(kept)
+            limit = min_importance * INSIDE_SHARE if article or main else min_importance
+            if not declared and not (pruned and any(pruned.get(b, 1.0) < limit for b in _branches(path))):
+                left.append((text, article, main))
+        for part in (1, 2):  # an empty or small article does not stand for the page
+            inside = sum(len(x[0]) for x in left if x[part])
+            if 2 * inside > sum(len(x[0]) for x in left):
+                left = [x for x in left if x[part]]
+                break
+        return "\n\n".join(x[0] for x in left)
 
 
-def _branches(path: str, inside: bool) -> Iterator[str]:
+def _branches(path: str) -> Iterator[str]:
     """The branches above a block that may be pruned."""
     steps, at = path.split("/"), ""
     for step in steps[1:]:
         at = f"{at}/{step}"
-        tag, _, names = step.partition(".")
-        if tag in ("html", "body", "article", "main") or (inside and (tag in _TEXT_TAGS or not names)):
-            continue
-        yield at
+        if step.partition(".")[0] not in ("html", "body"):
+            yield at
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,10 +217,13 @@ def template_branches(pages: DataFrame, min_importance: float = MIN_IMPORTANCE,
     return low.select("host", F.col("branch").alias("path"), "importance")
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [Page(source or "").text(set(pruned or ())) for source, pruned in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+def _extract(min_importance: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [Page(source or "").text({x["path"]: x["importance"] for x in pruned or ()}, min_importance) for source, pruned in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return run
 
 
 def extract(pages: DataFrame, min_importance: float = MIN_IMPORTANCE, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -236,7 +237,7 @@ def extract(pages: DataFrame, min_importance: float = MIN_IMPORTANCE, min_pages:
     """
     ws = Workspace(pages.sparkSession, "html")
     low = ws.write(template_branches(pages, min_importance, min_pages), "templates")
-    pruned = low.groupBy("host").agg(F.collect_list("path").alias("pruned"))  # paths of one host's templates
+    pruned = low.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("pruned"))  # paths of one host's templates
     pruned = F.broadcast(pruned) if low.count() <= BROADCAST_ROWS else pruned
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), _host().alias("host"))
-    return rows.join(pruned, "host", "left").select("page_id", "url", "html", "pruned").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.join(pruned, "host", "left").select("page_id", "url", "html", "pruned").mapInArrow(_extract(min_importance), "page_id long, url string, text string, n_chars long")
