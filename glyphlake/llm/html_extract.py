@@ -35,6 +35,8 @@ MIN_PAGES = 10
 INSIDE_SHARE = 0.5
 #: Weight of a path in its ancestor's importance, for each level between them.
 DECAY = 0.9
+#: Longest name of an element that is kept as it is.
+MAX_STEP = 80
 #: Rows of the pruned branches that are broadcast; more are joined by host.
 BROADCAST_ROWS = 200_000
 
@@ -81,7 +83,9 @@ class Page:
         declared = tag in _NOT_TEXT or role in _NOT_TEXT_ROLES or not words.isdisjoint(_NOT_TEXT_WORDS)
         if not article and not main:  # a site's header; an article's own holds its title
             declared = declared or tag == "header" or not words.isdisjoint({"header", "footer"})
-        step = tag + "".join(f".{w}" for w in sorted(set(names.split())))[:80] if names != " " else tag
+        step = tag + "".join(f".{w}" for w in sorted(set(names.split()))) if names != " " else tag
+        if len(step) > MAX_STEP:  # a hash stands for all of a long name
+            step = f"{tag}.{xxhash.xxh128_hexdigest(step.encode(errors='surrogatepass'))}"
         self.children.setdefault(path, []).append(step)
         # an article or main part stands for itself, unless it is declared to be something else
         if declared and tag in ("body", "html", "article", "main"):

@@ -18,3 +18,10 @@ def test_importance_decides_inside_an_article(spark):
     page = lambda i: f"<body><article><h1>Title {i}</h1><div><p>the story {i} of this page, {i * 7}</p></div><section>Read all our terms</section></article></body>"
     found = texts(spark, [(i, f"http://a.example/{i}", page(i)) for i in range(40)])
     assert found[3] == "Title 3\n\nthe story 3 of this page, 21"
+
+
+def test_long_class_lists_tell_siblings_apart(spark):
+    utilities = " ".join(f"a{i:02}-utility" for i in range(20))
+    page = lambda i: f"<body><div class='{utilities} z-body'><p>the story {i}</p><p>it goes on {i * 7}</p></div><div class='{utilities} z-terms'><p>Read all our terms</p></div></body>"
+    found = texts(spark, [(i, f"http://a.example/{i}", page(i)) for i in range(40)])
+    assert found[3] == "the story 3\n\nit goes on 21"
