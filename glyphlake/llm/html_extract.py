@@ -237,7 +237,8 @@ def extract(pages: DataFrame, min_importance: float = MIN_IMPORTANCE, min_pages:
 
     Defined results: a null html is empty and has empty text; pages with a null url or none that
     names a host share the empty host; a null page_id stays null; repeated rows give repeated
-    rows.  An empty table gives no rows.
+    rows.  An empty table gives no rows.  A branch seen on fewer than ``min_pages`` pages of its host
+    is kept whatever its importance, as so few pages do not tell template from copies.
     """
     ws = Workspace(pages.sparkSession, "html")
     low = ws.write(template_branches(pages, min_importance, min_pages), "templates")
