@@ -1,8 +1,9 @@
 """Secrets in text: three fixed patterns and a token-efficiency test for random strings.
 
 A random string costs a public subword vocabulary many tokens for few characters; words and
-names cost few.  Candidates are long runs of key characters that mix letters and digits; known
-digests, identifiers and plain numbers are excluded; what falls under the ratio is a secret.
+names cost few.  Candidates are long runs of key characters and, where a run is none, its parts
+between = and /; known digests, identifiers and plain numbers are excluded; what falls under the
+ratio is a secret.
 Every text is scanned whole, in one Python pass without a shuffle.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .storage import bound_batches, held
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-MIN_CHARS = 20
+MIN_CHARS = 16
 #: Characters per token below which a candidate counts as random.
 MAX_RATIO = 2.2
 MASK = "[secret]"
@@ -36,7 +37,11 @@ _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_CHARS},}}")
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})\Z")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 #: Words, optionally with a short number each, joined by separators: names, paths and slugs.
-_IDENTIFIER = re.compile(r"[/=+_-]*(?:[A-Z]?[a-z]+|[A-Z]+)?[0-9]{0,4}(?:[/=+_-]+(?:[A-Z]?[a-z]+|[A-Z]+)?[0-9]{0,4})*\Z")
+#: Runs of separators are possessive, so a long one is passed once.
+_IDENTIFIER = re.compile(r"[/=+_-]*+(?:[A-Z]?[a-z]+|[A-Z]+)?[0-9]{0,4}(?:[/=+_-]++(?:[A-Z]?[a-z]+|[A-Z]+)?[0-9]{0,4})*+\Z")
+_PARTS = re.compile(r"[^=/]+")
+#: Characters that are encoded at once; a longer string is counted piece by piece.
+_PIECE = 1024
 
 
 class RandomStrings:
@@ -52,11 +57,22 @@ class RandomStrings:
         self.max_ratio = max_ratio
 
     def test(self, s: str) -> bool:
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-            return False
         if _DIGEST.match(s) or _UUID.match(s) or _IDENTIFIER.match(s):
             return False
-        return len(s) < self.max_ratio * len(self.encoding.encode_ordinary(s))
+        if not any(c.isalpha() for c in s):
+            return False
+        tokens = sum(len(self.encoding.encode_ordinary(s[i : i + _PIECE])) for i in range(0, len(s), _PIECE))
+        return len(s) < self.max_ratio * tokens
+
+    def spans(self, text: str) -> Iterator[tuple[int, int]]:
+        """(start, end) of the random strings: whole runs, else parts of a run between = and /."""
+        for run in _CANDIDATE.finditer(text):
+            if self.test(run.group()):
+                yield run.span()
+                continue
+            for part in _PARTS.finditer(text, *run.span()):
+                if MIN_CHARS <= part.end() - part.start() < run.end() - run.start() and self.test(part.group()):
+                    yield part.span()
 
 
 def spans(text: str, lowered: bytes, random: RandomStrings) -> list[tuple[int, int, int]]:
@@ -67,7 +83,7 @@ def spans(text: str, lowered: bytes, random: RandomStrings) -> list[tuple[int, i
     if b"akia" in lowered:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    out += [(m.start(), 3, m.end()) for m in _CANDIDATE.finditer(text) if random.test(m.group())]
+    out += [(a, 3, b) for a, b in random.spans(text)]
     out.sort()
     return out
 
