@@ -73,6 +73,28 @@ def _exploded(sets: DataFrame, size_name: str, *keep: str) -> DataFrame:
     return sized.select(*keep, size_name, F.explode_outer("hs").alias("h")).where("h is not null")
 
 
+def _contained(docs: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
+    """Rows doc_id, text_md5, item_id, n_item, n_shared: one per row of ``docs`` and item in it."""
+    spark = docs.sparkSession
+    ws = Workspace(spark, "decontam")
+    # rows that repeat an item's id stay apart by a number that is stored
+    items = ws.write(shingled(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", F.monotonically_increasing_id().alias("item")), "item_id", "item"), "items")
+    bench = _exploded(items, "n_item", "item", "item_id")
+    sampled = ws.write(sketches(items.select(F.col("item").alias("item_id"), "hs"), percent).withColumnRenamed("item_id", "item"), "sketches")
+
+    # a document is known by its id and a digest of its text, so rows that share an id stay apart
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "text")
+    probes = _exploded(shingled(ids, "doc_id", "text_md5"), "n_doc", "doc_id", "text_md5")
+    met = probes.join(_checked(sampled), "h").where(F.col("n_doc") >= _least(F.col("n_item"), percent))
+    candidates = ws.write(met.select(F.col("doc_id").alias("c_id"), F.col("text_md5").alias("c_md5")).distinct(), "candidates")
+
+    this = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_md5") == F.col("c_md5"))
+    found = ids.withColumn("row", F.monotonically_increasing_id()).join(_checked(candidates), this, "left_semi")
+    held = _exploded(shingled(found, "doc_id", "text_md5", "row"), "n_doc", "doc_id", "text_md5", "row").join(_checked(bench), "h")
+    shared = held.groupBy("doc_id", "text_md5", "row", "item", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
+    return shared.where(F.col("n_shared") >= _least(F.col("n_item"), percent)).select("doc_id", "text_md5", "item_id", "n_item", "n_shared")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """One row per document and item it contains: doc_id, item_id, n_item, n_shared, containment.
 
@@ -82,29 +104,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = THRESHOLD_PERCEN
 
     Defined results: null and wordless texts contain nothing and are contained in nothing; an item
     of fewer than five words is one shingle that only a document of just these words holds; a
-    null id stays null; rows that repeat a document or an item each give their rows.  An empty
-    table on either side gives no rows.
+    null id stays null; rows that repeat a document or an item each give their rows, and rows that
+    share an id with different texts are judged one by one.  An empty table on either side gives
+    no rows.
     """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "decontam")
-    # rows that repeat an item's id stay apart by a number that is stored
-    items = ws.write(shingled(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", F.monotonically_increasing_id().alias("item")), "item_id", "item"), "items")
-    bench = _exploded(items, "n_item", "item", "item_id")
-    sampled = ws.write(sketches(items.select(F.col("item").alias("item_id"), "hs"), percent).withColumnRenamed("item_id", "item"), "sketches")
-
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    probes = _exploded(shingled(ids, "doc_id"), "n_doc", "doc_id")
-    met = probes.join(_checked(sampled), "h").where(F.col("n_doc") >= _least(F.col("n_item"), percent))
-    candidates = ws.write(met.select("doc_id").distinct(), "candidates")
-
-    found = ids.withColumn("row", F.monotonically_increasing_id()).join(_checked(candidates.withColumnRenamed("doc_id", "candidate")), F.col("doc_id").eqNullSafe(F.col("candidate")), "left_semi")
-    held = _exploded(shingled(found, "doc_id", "row"), "n_doc", "doc_id", "row").join(_checked(bench), "h")
-    shared = held.groupBy("doc_id", "row", "item", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
-    return shared.where(F.col("n_shared") >= _least(F.col("n_item"), percent)).select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    return _contained(docs, benchmark, percent).select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item, with all their columns."""
-    mine = "_glyphlake_leaked_id"  # a name that no table has
-    found = Workspace(docs.sparkSession, "decontam").write(leaks(docs, benchmark, percent).select(F.col("doc_id").alias(mine)).distinct(), "leaked")
-    return docs.join(_checked(found), F.col("doc_id").cast("long").eqNullSafe(F.col(mine)), "left_anti")
+    """The rows of ``docs`` that contain no benchmark item, with all their columns.
+
+    A row goes for its own text alone: rows that share its id, or are without one too, stay if
+    their texts are clean.
+    """
+    mine, digest = "_glyphlake_leaked_id", "_glyphlake_leaked_md5"  # names that no table has
+    found = Workspace(docs.sparkSession, "decontam").write(_contained(docs, benchmark, percent).select(F.col("doc_id").alias(mine), F.col("text_md5").alias(digest)).distinct(), "leaked")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(mine)) & (F.md5(F.col("text").cast("binary")) == F.col(digest))
+    return docs.join(_checked(found), same, "left_anti")

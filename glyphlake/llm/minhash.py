@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import WordHashes, mix, shingle_set
-from .storage import Workspace, held, shuffle_partitions
+from .storage import Workspace, held
 
 THRESHOLD_PERCENT = 75
 BINS_LOG2 = 7
@@ -44,7 +44,7 @@ BLOCK = 512
 #: Salts of the further centres of a bucket in each round after the first; the empty last round
 #: compares what is left.
 MORE_CENTRES = ((1, 2, 3, 4), ())
-_SIGNATURE = "doc_id long, n_shingles long, fp_hi long, fp_lo long, bands array<long>, parity array<long>"
+_SIGNATURE = "row long, doc_id long, text_md5 string, text binary, n_shingles long, fp_hi long, fp_lo long, bands array<long>, parity array<long>"
 
 
 def _bin_orders(n_bins: int) -> np.ndarray:
@@ -97,10 +97,9 @@ def _signatures(bins_log2: int, rows: int):
         memo, orders = held("words", WordHashes), _bin_orders(1 << bins_log2)
         n_bands = (1 << bins_log2) // rows
         for batch in batches:
-            ids, sizes, hi, lo, bands, parity, ends = [], [], [], [], [], [], [0]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sizes, hi, lo, bands, parity, ends = [], [], [], [], [], [0]
+            for text in batch.column(3).to_pylist():
                 s = shingle_set(text, memo)
-                ids.append(doc_id)
                 sizes.append(len(s))
                 if len(s):
                     d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
@@ -114,8 +113,8 @@ def _signatures(bins_log2: int, rows: int):
                 ends.append(ends[-1] + bool(len(s)))
             lists = lambda parts, n: pa.ListArray.from_arrays(pa.array(np.array(ends) * n, pa.int32()), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), lists(bands, n_bands), lists(parity, PARITY_BITS // 64)],
-                names=["doc_id", "n_shingles", "fp_hi", "fp_lo", "bands", "parity"],
+                [*batch.columns, pa.array(sizes, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), lists(bands, n_bands), lists(parity, PARITY_BITS // 64)],
+                names=["row", "doc_id", "text_md5", "text", "n_shingles", "fp_hi", "fp_lo", "bands", "parity"],
             )
 
     return run
@@ -184,14 +183,27 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 def _across(open_: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) of different components in a bucket which the parity bound lets through.
 
-    A bucket is dealt into blocks of about BLOCK members and every two blocks meet in one run of
-    rows, so a large bucket spreads over many tasks and no task holds more than two blocks.
+    Members of one component need no comparison.  The largest component of a bucket only meets the
+    rest of the bucket, and the rest meets itself.  Each side is dealt into blocks of about BLOCK
+    members and two blocks meet in one run of rows, so a large bucket spreads over many tasks, no
+    task holds more than two blocks, and a large component with few outsiders gives few rows.
     """
-    sized = open_.withColumn("blocks", F.ceil(F.col("members") / BLOCK))
-    dealt = sized.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "rep", "component", "n", "side", "parity")
-    parts = shuffle_partitions(open_.sparkSession)
-    return dealt.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_near(percent), "a long, b long")
+    size = open_.groupBy("key", "component").agg(F.count("*").alias("m"))
+    top = size.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
+    top = top.select("key", F.col("top.component").alias("main"), blocks(F.col("top.m")).alias("mains"), blocks(F.col("all") - F.col("top.m")).alias("rests"))
+    sized = open_.select("key", "rep", "component", "n", "parity").join(top, "key").withColumn("is_main", F.col("component") == F.col("main"))
+    dealt = sized.withColumn("side", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    # a run is (low, high): two blocks of the rest, or a block of the main component, counted below zero, and one of the rest
+    met = lambda low, high, side: F.struct(low.alias("low"), high.alias("high"), side.alias("side"))
+    side = F.col("side")
+    with_rest = F.transform(upto(F.col("rests")), lambda o: met(F.least(side, o), F.greatest(side, o), side))
+    with_main = F.transform(upto(F.col("mains")), lambda o: met(-1 - o, side, side))
+    as_main = F.transform(upto(F.col("rests")), lambda o: met(-1 - side, o, -1 - side))
+    dealt = dealt.withColumn("run", F.explode(F.when(F.col("is_main"), as_main).otherwise(F.concat(with_rest, with_main))))
+    dealt = dealt.select("key", "run.low", "run.high", "rep", "component", "n", "run.side", "parity")
+    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_near(percent), "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -232,23 +244,17 @@ def components(edges: DataFrame, ws: Workspace, label: str) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 
-def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, bins_log2: int = BINS_LOG2, rows: int = ROWS_PER_BAND) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, n_links.
-
-    ``docs`` needs doc_id and text; other columns are ignored.  ``n_links`` counts the verified
-    links of the document's representative that the search has used; copies carry it too.
-
-    Defined results: a null or wordless text has no shingle, is linked with nothing and is kept.
-    A row without doc_id is linked with nothing, has a null component and is kept.  A doc_id is
-    one document, so rows that repeat it each get a row and share the node.  An empty table gives
-    no rows.
-    """
+def _placed(docs: DataFrame, percent: int, bins_log2: int, rows: int) -> DataFrame:
+    """One row per row: row, doc_id, text_md5, n_shingles, component (its smallest row's node, null
+    without links and copies), component_id and n_links."""
     spark = docs.sparkSession
     ws = Workspace(spark, "minhash")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    text = F.col("text").cast("binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.md5("text").alias("text_md5"), "text")
+    # rows are numbered, and texts stored with their numbers, so a row is a node whatever its id
     sig = ws.write(texts.mapInArrow(_signatures(bins_log2, rows), _SIGNATURE), "signatures")
     sets = ws.write(
-        sig.where("doc_id is not null and fp_hi is not null").groupBy("fp_hi", "fp_lo").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "parity", F.col("n_shingles").alias("n")), "doc_id").alias("x"), F.count("*").alias("copies")).select("fp_hi", "fp_lo", "rep", "copies", "x.*"),
+        sig.where("doc_id is not null and fp_hi is not null").groupBy("fp_hi", "fp_lo").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"), F.min_by(F.struct("bands", "parity", F.col("n_shingles").alias("n")), "row").alias("x"), F.count("*").alias("copies")).select("fp_hi", "fp_lo", "rep", "least_id", "copies", "x.*"),
         "sets",
     )
 
@@ -261,13 +267,13 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, bins_log2
     order = lambda salt: F.xxhash64("rep", F.lit(salt))
     centre = buckets.groupBy("key").agg(F.min_by("rep", order(0)).alias("centre"))
     tried = ws.write(buckets.join(centre, "key").where("rep <> centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct(), "pairs-1")
-    named = texts.where("doc_id is not null")
+    named = sig.select(F.col("row").alias("doc_id"), "text")
     links = ws.write(verified(tried, named, percent), "links-1")
     comp = components(links, ws, "cc-1")
     for n, salts in enumerate(MORE_CENTRES, 2):
         # buckets that still hold several components; a rep without links is its own
         placed = buckets.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select("key", "members")
+        split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         open_ = ws.write(placed.join(split, "key").join(sets.select("rep", "n", "parity"), "rep"), f"open-{n}")
         centres = open_.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("cn"), F.col("parity").alias("cparity"))
         if salts:
@@ -284,30 +290,59 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, bins_log2
 
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     # only sets with copies or links differ from themselves
-    moved = sets.select("fp_hi", "fp_lo", "rep", "copies").join(comp.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    moved = moved.where("copies > 1 or component is not null").select("fp_hi", "fp_lo", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    own = F.coalesce("component", "doc_id")
-    return sig.select("doc_id", "n_shingles", "fp_hi", "fp_lo").join(moved, ["fp_hi", "fp_lo"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    moved = sets.select("fp_hi", "fp_lo", "rep", "least_id", "copies").join(comp.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
+    moved = moved.where("copies > 1 or component is not null").select("fp_hi", "fp_lo", F.coalesce("component", "rep").alias("component"), "least_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    moved = ws.write(moved, "moved")
+    # the smallest id, which is not always that of the smallest row
+    least = moved.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    moved = moved.drop("least_id").join(least, "component")
+    return sig.select("row", "doc_id", "text_md5", "n_shingles", "fp_hi", "fp_lo").join(moved, ["fp_hi", "fp_lo"], "left").select(
+        "row", "doc_id", "text_md5", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"),
+    )
+
+
+def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, bins_log2: int = BINS_LOG2, rows: int = ROWS_PER_BAND) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, n_links.
+
+    ``docs`` needs doc_id and text; other columns are ignored.  ``n_links`` counts the verified
+    links of the document's representative that the search has used; copies carry it too.
+
+    Defined results: a row is a document.  A null or wordless text has no shingle, is linked with
+    nothing and is kept.  A row without doc_id is linked with nothing, has a null component and is
+    kept.  Rows that repeat a doc_id are linked by their texts alone: with the same text they share
+    all results, with unlike texts each has its own component.  An empty table gives no rows.
+    """
+    placed = _placed(docs, percent, bins_log2, rows)
+    return placed.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_links")
 
 
-#: Ids that are broadcast at most to leave documents out; more are joined by hash.
-BROADCAST_IDS = 1_000_000
+#: Rows that are broadcast at most to leave documents out; more are joined by hash.
+BROADCAST_IDS = 500_000
 
 
 def representatives(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates, with all columns.
+    """``docs`` with one row of each group of near duplicates, with all columns.
 
-    Rows that repeat both doc_id and text count as one document, too; rows without doc_id stay.
+    The row with the smallest doc_id stays; among texts that share this id, the one with the
+    smallest digest.  Rows that repeat both doc_id and text count as one document, too; rows
+    without doc_id stay.  A text that is like no other is never left out, whatever ids it shares.
     """
     ws = Workspace(docs.sparkSession, "minhash-kept")
-    mine = "_glyphlake_minhash_id"  # a name that no table has
-    found = ws.write(near_duplicates(docs, percent).select(F.col("doc_id").alias(mine), "kept"), "kept")
-    gone = found.where("not kept").select(mine).distinct()
+    mine, digest, best = "_glyphlake_minhash_id", "_glyphlake_minhash_md5", "_glyphlake_minhash_best"  # names that no table has
+    found = ws.write(_placed(docs, percent, BINS_LOG2, ROWS_PER_BAND).where("doc_id is not null").select(F.col("doc_id").alias(mine), F.col("text_md5").alias(digest), "component", "component_id"), "kept")
+    # ids that stand on several rows; of those that lead a component one text is chosen
+    again = ws.write(found.groupBy(mine).count().where("count > 1").select(mine), "again")
+    repeated = not again.isEmpty()
+    gone = found.where(F.col(mine) != F.col("component_id"))
+    if repeated:
+        several = found.where(F.col("component").isNotNull() & (F.col(mine) == F.col("component_id"))).join(again, mine, "left_semi")
+        first = several.groupBy("component").agg(F.min(digest).alias(best))
+        gone = gone.select(mine, digest).union(several.join(first, "component").where(F.col(digest) != F.col(best)).select(mine, digest))
+    gone = ws.write(gone.select(mine, digest).distinct(), "gone")
     same = F.col("doc_id").cast("long") == F.col(mine)
-    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left_anti")
-    again = found.where(F.col(mine).isNotNull()).groupBy(mine).count().where("count > 1").select(mine)
-    if again.isEmpty():
+    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same & F.md5(F.col("text").cast("binary")).eqNullSafe(F.col(digest)), "left_anti")
+    if not repeated:
         return left
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, same, "left_anti").unionByName(once)
