@@ -9,15 +9,14 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.operators import listing, paint, xref
-from glyphlake.operators.cmap import page_cmap
 from glyphlake.operators.content import content_ops
-from glyphlake.operators.interpreter import interpret
+from glyphlake.operators.interpreter import pages as stream_pages
 from glyphlake.plans.layout import PageLayout
 from glyphlake.sources import pdf
 
 
 def _layout(pages) -> PageLayout:
-    return PageLayout(interpret(pages), page_cmap(pdf.unicode_programs(pages)))
+    return PageLayout(stream_pages(pages))
 
 
 def extract(spark: SparkSession, path: str, pages: list[int] | None):

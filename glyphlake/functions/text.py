@@ -17,8 +17,9 @@ def hex_tokens(line: Column) -> Column:
 
 
 def hex_number(digits: Column) -> Column:
-    """The big-endian value of up to seven bytes of digits."""
-    return F.conv(digits, 16, 10).cast("bigint")
+    """The big-endian value of up to seven bytes of digits; null where 64 bits do not hold it."""
+    short = F.ltrim(digits, F.lit("0"))
+    return F.when(F.length(short) <= 16, F.conv(digits, 16, 10)).try_cast("bigint")
 
 
 def code_point(n: Column) -> Column:

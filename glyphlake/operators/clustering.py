@@ -1,22 +1,20 @@
-"""Glyphs to words, lines and blocks with window functions.
+"""Glyphs to words, lines and blocks.
 
-Everything is keyed by (doc_id, page): one shuffle on that key serves all windows and groupings.
+Everything is keyed by (doc_id, page).  Words come from whole pages by ``packed``; lines and blocks
+are windows and groupings over the rows of the stage before.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphlake.functions.geometry import bounds
-from glyphlake.functions.text import placeholder
 
-# Points, and multiples of the font size.
-LINE_TOLERANCE = 2.0
-WORD_GAP = 2.0
-BLOCK_GAP = 1.5
-
-PAGE = ("doc_id", "page")
+from .packed import BLOCK_GAP, PAGE, line_anchors, pack
 
 
 def _float(v: float):
@@ -28,38 +26,27 @@ def visible(glyphs: DataFrame) -> DataFrame:
     return glyphs.where("font_size > 0 and glyph_id <> 0")
 
 
+def _anchors(ys: pa.Array) -> pa.Array:
+    """The anchor of each height in the lists ``ys``, in the lists' own order."""
+    sizes = pc.list_value_length(ys).to_numpy(zero_copy_only=False)
+    at, y = np.repeat(np.arange(len(ys)), sizes), ys.flatten().to_numpy(zero_copy_only=False)
+    order = np.lexsort((-y, at))
+    out = np.empty_like(y)
+    out[order] = line_anchors(at[order], y[order])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(out, pa.float32()))
+
+
 def with_lines(glyphs: DataFrame) -> DataFrame:
     """Visible glyphs with ``anchor``, the y of the first glyph of their line.
 
     From the top down a glyph joins the line if its y is within the tolerance of the line's first
-    y.  A gap above the tolerance between neighbouring y always begins a line, so pages fall apart
-    into runs without such gaps, and within the tolerance of a run's top its top is the anchor.
-    Only what lies lower in a run needs the sequential rule, on the distinct y of such places.
-    All of it takes one window, and so one sort, over the page from the top down.
+    y.  One shuffle gathers pages; the rule itself is ``packed.line_anchors``.
     """
-    tolerance = _float(LINE_TOLERANCE)
-    down = Window.partitionBy(*PAGE).orderBy(F.desc("y"), F.asc("x"), F.asc("seq"))
-    upto = down.rowsBetween(Window.unboundedPreceding, 0)
-    seen = visible(glyphs).withColumn("above", F.lag("y").over(down))
-    starts = F.coalesce((F.col("above") - F.col("y")).cast("float") > tolerance, F.lit(True))
-    seen = seen.withColumn("top", F.last(F.when(starts, F.col("y")), ignorenulls=True).over(upto))
-    low = (F.col("top") - F.col("y")).cast("float") > tolerance
-    seen = seen.withColumn("lows", F.collect_set(F.when(low, F.col("y"))).over(upto))
-    within = F.filter("lows", lambda v: (v < F.col("top")) & (v >= F.col("y")))
-    folded = F.aggregate(F.reverse(F.array_sort(within)), F.col("top"), lambda anchor, v: F.when((anchor - v).cast("float") > tolerance, v).otherwise(anchor))
-    return seen.withColumn("anchor", F.when(low, folded).otherwise(F.col("top"))).drop("above", "top", "lows")
-
-
-def _in_line(glyphs: DataFrame) -> DataFrame:
-    """Glyphs in the order of their line, with the number of their word."""
-    across = Window.partitionBy(*PAGE, "anchor").orderBy(F.asc("x"), F.desc("y"), F.asc("seq"))
-    lined = with_lines(glyphs)
-    space = F.coalesce(F.col("unicode") == " ", F.lit(False))
-    prev_space = F.lag(space).over(across)
-    wide = (F.col("x") - F.lag("x").over(across)).cast("float") > (F.lag("font_size").over(across) * _float(WORD_GAP)).cast("float")
-    breaks = F.when(space, 0).when(prev_space.isNull() | prev_space | wide, 1).otherwise(0)
-    lined = lined.withColumns({"is_space": space, "pos": F.row_number().over(across), "breaks": breaks, "baseline_y": F.first("y").over(across)})
-    return lined.withColumn("word", F.sum("breaks").over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    columns = glyphs.columns
+    paged = visible(glyphs).groupBy(*PAGE).agg(F.collect_list(F.struct(*(c for c in columns if c not in PAGE))).alias("gs"))
+    anchors = F.arrow_udf(_anchors, "array<float>")(F.transform("gs", lambda g: g["y"]))
+    flat = paged.withColumn("anchors", anchors).select(*PAGE, "anchors", F.posexplode("gs").alias("i", "g")).select(*PAGE, "g.*", F.get("anchors", F.col("i")).alias("anchor"))
+    return flat.select(*columns, "anchor")
 
 
 def words(glyphs: DataFrame) -> DataFrame:
@@ -67,16 +54,7 @@ def words(glyphs: DataFrame) -> DataFrame:
 
     ``line_no`` counts the lines that keep a word, from the top; ``word_no`` the words in a line.
     """
-    white = F.coalesce(F.col("unicode").rlike(r"^[\s\u0085   -     　]$"), F.lit(False))
-    char = F.when(white, F.lit("")).otherwise(F.coalesce("unicode", placeholder(F.col("glyph_id"))))
-    marks = _in_line(glyphs).where("not is_space").withColumns({"ch": char, "white": white})
-    box = [F.when(~F.col("white"), F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1")]
-    marks = marks.select(*PAGE, "anchor", "word", "pos", "ch", "font_size", "baseline_y", *box)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ch"))), lambda g: g["ch"]), "")
-    found = marks.groupBy(*PAGE, "anchor", "word").agg(text.alias("text"), *bounds(), F.count("*").alias("n_glyphs"), F.max("font_size").alias("max_font_size"), F.first("baseline_y").alias("baseline_y"))
-    found = found.where("text <> ''")
-    number = lambda by, *key: F.dense_rank().over(Window.partitionBy(*PAGE, *key).orderBy(by)) - 1
-    return found.withColumn("line_no", number(F.desc("anchor"))).withColumn("word_no", number("word", "line_no")).drop("anchor", "word")
+    return pack(glyphs).rows("words")
 
 
 def lines(found: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .content import Name, operations
+from .packed import Pages
 
 f32 = np.float32
 Matrix = tuple
@@ -158,5 +159,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def interpret(pages: DataFrame) -> DataFrame:
-    """The glyph relation of (doc_id, page, content); doc_id and page must not be null."""
-    return pages.select("doc_id", "page", "content").mapInArrow(_rows, SCHEMA)
+    """The glyph relation of (doc_id, page, content); rows without doc_id or page name no page."""
+    return pages.select("doc_id", "page", "content").where("doc_id is not null and page is not null").mapInArrow(_rows, SCHEMA)
+
+
+def pages(parsed: DataFrame) -> Pages:
+    """The pages of (doc_id, page, content), with ``fonts`` where there are any, for the layout.
+
+    Streams are interpreted, mapped and laid out in one pass, without a row for each glyph.
+    """
+    return Pages(parsed.select("doc_id", "page", "content", *(c for c in ("fonts",) if c in parsed.columns)), "stream")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packed import PLAIN, Pages
+
 FONT, FONT_SIZE, PITCH, LEADING, GROUP, GAP = "/F1", 10.0, 6, 12, 5, 18
 LEFT, TOP = 72, 720
 
@@ -37,6 +39,29 @@ def glyphs_of_text(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     )
 
 
+def pages_of_text(docs: DataFrame, plain: tuple = PLAIN) -> Pages:
+    """The same layout as pages of ``packed``, from (doc_id, page, text); ``plain`` as there.
+
+    Texts are dealt anew only where the input has fewer splits than the cluster needs, so a large
+    table is read, laid out and clustered in the tasks of its scan, without any shuffle.
+    """
+    page = F.col("page") if "page" in docs.columns else F.lit(0)
+    return Pages(spread(docs.select("doc_id", page.cast("int").alias("page"), "text")), "text", plain)
+
+
+#: Partitions for each core that a small input is dealt into.
+PER_CORE = 4
+
+
+def spread(pages: DataFrame) -> DataFrame:
+    """``pages``, dealt over the cluster where their bytes fill fewer splits than it has cores."""
+    spark = pages.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return pages.repartition(PER_CORE * cores, "doc_id", "page") if size < PER_CORE * cores * split else pages
+
+
 def stream_of_text(docs: DataFrame) -> DataFrame:
     """(doc_id, page, content): the content stream that shows the text in the same layout."""
     page = F.col("page") if "page" in docs.columns else F.lit(0)

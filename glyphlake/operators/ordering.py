@@ -7,11 +7,12 @@ recursive rule, in an Arrow function over arrays of boxes, which all other bands
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .clustering import PAGE
+PAGE = ("doc_id", "page")
 
 # Fixed value: points of a gap that may be cut.
 GAP = 1.0
@@ -71,6 +72,25 @@ def cut_order(boxes: list[tuple[float, float, float, float]]) -> list[int]:
     return out
 
 
+def page_order(boxes: list[tuple[float, float, float, float]]) -> list[int]:
+    """Indices of a page's boxes in reading order: band by band, and by cuts in crowded bands."""
+    out: list[int] = []
+    band: list[int] = []
+    lowest = None
+    for i in sorted(range(len(boxes)), key=lambda i: (-boxes[i][3], i)):
+        if lowest is not None and np.float32(lowest - boxes[i][3]) > GAP:
+            out += _band_order(band, boxes)
+            band = []
+        band.append(i)
+        lowest = boxes[i][1] if lowest is None else min(lowest, boxes[i][1])
+    return out + _band_order(band, boxes)
+
+
+def _band_order(band: list[int], boxes: list[tuple]) -> list[int]:
+    own = sorted(band)
+    return [own[k] for k in cut_order([boxes[i] for i in own])] if len(own) > 1 else own
+
+
 def _ranks(boxes: pd.Series) -> pd.Series:
     """Places of the boxes (x0, y0, x1, y1) of each band; null for a band that needs none."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .clustering import PAGE
+from .ordering import PAGE
 
 # The stroke of each layer.
 STROKES = {"glyphs": "#4488ff", "words": "#44bb44", "lines": "#ff8800", "blocks": "#cc0000"}

@@ -39,7 +39,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _layout(spark: SparkSession, sf_dir: str) -> PageLayout:
-    return PageLayout(layout.glyphs_of_text(_docs(spark, sf_dir)))
+    return PageLayout(layout.pages_of_text(_docs(spark, sf_dir)))
+
+
+def _glyph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapped glyphs as rows, made and mapped by column expressions."""
+    return mapping.map_glyphs(layout.glyphs_of_text(_docs(spark, sf_dir)))
 
 
 # The layout of documents in SQL: lines, glyphs, words by lag and running sum, and lines of words.
@@ -73,12 +78,12 @@ def glyph_layout_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_GLYPHS} select case when glyph_id between 32 and 126 or glyph_id between 160 and 255 then chr(cast(glyph_id as int)) end as unicode, glyph_id,
 case when glyph_id between 32 and 126 or glyph_id between 160 and 255 then 'Heuristic' else 'Unmapped' end as mapping_method, count(*) as n from gl group by all""")
 def map_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _layout(spark, sf_dir).glyphs.groupBy("unicode", "glyph_id", "mapping_method").agg(F.count("*").alias("n"))
+    return _glyph_rows(spark, sf_dir).groupBy("unicode", "glyph_id", "mapping_method").agg(F.count("*").alias("n"))
 
 
 @query(f"""with {_GLYPHS} select doc_id, count(*) as n_glyphs, count(case when glyph_id between 32 and 126 or glyph_id between 160 and 255 then 1 end) as n_mapped from gl group by doc_id""")
 def mapping_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapping.mapping_rate(_layout(spark, sf_dir).glyphs, "doc_id")
+    return mapping.mapping_rate(_glyph_rows(spark, sf_dir), "doc_id")
 
 
 def _shifted_cmap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +98,7 @@ select case when doc_id % 2 = 0 and glyph_id between 97 and 122 then 'ToUnicode'
 from gl) group by all""")
 def map_cmap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = cmap.page_cmap(_shifted_cmap(spark, sf_dir))
-    return PageLayout(layout.glyphs_of_text(_docs(spark, sf_dir)), maps).glyphs.groupBy("mapping_method", "unicode").agg(F.count("*").alias("n"))
+    return PageLayout(layout.pages_of_text(_docs(spark, sf_dir)), maps).pages.rows("glyphs").groupBy("mapping_method", "unicode").agg(F.count("*").alias("n"))
 
 
 def _font_rows(spark: SparkSession, sf_dir: str, line: str, section: str) -> DataFrame:
@@ -340,7 +345,7 @@ select conv_id as doc_id, cast(turn as int) as page, array_to_string(list_filter
 def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as documents whose turns are pages of one line."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), F.regexp_replace("text", "\n", " ").alias("text"))
-    return PageLayout(layout.glyphs_of_text(turns)).text
+    return PageLayout(layout.pages_of_text(turns)).text
 
 
 @query(f"""with {_WORDS} select doc_id, 'word' as stage, count(*) as n from wd group by doc_id""")

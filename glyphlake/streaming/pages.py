@@ -1,7 +1,7 @@
 """The page pipeline on streams of files.
 
-A page depends on nothing but itself, so every stage up to the glyphs is stateless; the rest runs
-on each micro-batch, as its windows are keyed by document and page.
+A page depends on nothing but itself, so parsing, interpreting, mapping and layout of a file are one
+stateless pass over each micro-batch.
 """
 
 from __future__ import annotations
@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from glyphlake.operators.cmap import page_cmap
-from glyphlake.operators.interpreter import interpret
+from glyphlake.operators.interpreter import pages
 from glyphlake.plans.layout import PageLayout
 from glyphlake.sources import pdf
 
@@ -32,10 +31,6 @@ def stream_text(files: DataFrame, sink: Callable[[DataFrame, int], None], checkp
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        pages = pdf.parse(batch, strict=strict).where("error is null").persist()
-        try:
-            sink(PageLayout(interpret(pages), page_cmap(pdf.unicode_programs(pages))).text, number)
-        finally:
-            pages.unpersist()
+        sink(PageLayout(pages(pdf.parse(batch, strict=strict))).text, number)
 
     return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
