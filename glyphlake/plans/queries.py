@@ -187,7 +187,7 @@ def line_max_font(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {_LINES} select doc_id, count(*) as n_blocks, cast(sum(x0) as double) as x0, cast(sum(x1) as double) as x1, cast(sum(y0) as double) as y0, cast(sum(y1) as double) as y1, max(n_lines) as max_lines from bl group by doc_id""")
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = clustering.blocks(_layout(spark, sf_dir).lines)
+    found = _layout(spark, sf_dir).blocks
     return found.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), *(F.sum(F.col(c).cast("double")).alias(c) for c in ("x0", "x1", "y0", "y1")), F.max("n_lines").alias("max_lines"))
 
 
