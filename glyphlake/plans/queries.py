@@ -162,9 +162,8 @@ ph as (select doc_id, ln, i, x, case when ch = ' ' then ' ' when glyph_id > 126
 t as (select doc_id, ln, unnest(string_split(string_agg(ch, '' order by i), ' ')) as w from ph group by doc_id, ln)
 select doc_id, count(*) as n_words, sum(length(w)) as n_chars from t where w <> '' group by doc_id""")
 def unmapped_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = layout.glyphs_of_text(_docs(spark, sf_dir))
-    only_ascii = mapping.map_glyphs(plain).withColumn("unicode", F.when(F.col("glyph_id") <= 126, F.col("unicode")))
-    return clustering.words(only_ascii).groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum(F.length("text")).alias("n_chars"))
+    only_ascii = PageLayout(layout.pages_of_text(_docs(spark, sf_dir), plain=((0x20, 0x7E),)))
+    return only_ascii.words.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum(F.length("text")).alias("n_chars"))
 
 
 @query(f"""with {_LINES} select doc_id, count(*) as n_lines, cast(sum(baseline) as double) as baselines, cast(sum(x1) as double) as right_edges, sum(n_words) as n_words, md5(string_agg(line, '|' order by ln)) as digest from li group by doc_id""")
