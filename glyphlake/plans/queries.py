@@ -336,7 +336,7 @@ def pdf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text to streams to files, parsed again, interpreted and assembled."""
     files = pdf.write_files(layout.stream_of_text(_docs(spark, sf_dir)))
     pages = pdf.parse(files)
-    return PageLayout(interpreter.interpret(pages)).text
+    return PageLayout(interpreter.pages(pages)).text
 
 
 @query("""with p as (select conv_id, turn, string_split(replace(text, chr(10), ' '), ' ') as w from conversations)
