@@ -1,18 +1,22 @@
 """Quality rules whose thresholds follow the corpus: quantile sketches per language and source.
 
 DataFrame operations only.  One pass over the whole texts makes a narrow table of counts.  Each
-rate gets a mergeable KLL sketch for every (language, source); the sketches of a language's sources
-merge into the language's, and all of them into one.  A rate is out of line beyond the outer fence
-of its group, by quartiles or, for repetition, the 0.99 quantile, where a group with few documents
-borrows its language's fence and that, if small, the corpus's.  The fences, one row for each group,
-are joined back.
-
-The sketches summarise every document.  A hot source is combined map-side like any other group.
+rate gets a mergeable sketch for every (language, source): the numbers of documents in buckets
+whose bounds grow by GAMMA, so a quantile is off by half of that at most.  Adding up the buckets of a
+language's sources gives the language's sketch, and all of them the corpus's.  A rate is out of line
+beyond the outer fence of its group, by quartiles or, for repetition, the 0.99 quantile, where a
+group with few documents borrows its language's fence and that, if small, the corpus's.  The fences,
+one row for each group, are joined back.
+
+The sketches summarise every document and have no random part, so runs agree.  A hot source is
+combined map-side like any other group; a sketch has some thousand buckets, whatever it holds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import Workspace
@@ -28,8 +32,10 @@ _SPACES = r"[ \t-\r]+"
 FENCE = 3.0
 #: Documents below which a group borrows the fences one level up.
 MIN_GROUP = 200
-#: Sketch size; the rank error is about 0.2 %, as upper quantiles are asked for.
-SKETCH_K = 1600
+#: Ratio of a bucket's bounds; a quantile is within 0.5 % of the value.
+GAMMA = 1.01
+#: The bucket of 0, below all others.
+_ZERO = -(1 << 30)
 #: rate -> (upper quantile, share of FENCE, least range, whether low values are out of line too).
 #: Repetition is 0 in most documents and spread thinly above it, so its fences follow the 0.99
 #: quantile.  The least range only counts where the group's own range is about 0.
@@ -109,25 +115,35 @@ def _level(name: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("-"))
 
 
+def _sketches(rates: DataFrame) -> DataFrame:
+    """(g_lang, g_source, rate, bucket, n) of rows (g_lang, g_source, and a column for each rate)."""
+    bucket = lambda v: F.when(v > 0, F.ceil(F.log(v) / F.lit(math.log(GAMMA))).cast("int")).otherwise(F.lit(_ZERO))
+    placed = rates.select("g_lang", "g_source", F.inline(F.array(*(F.struct(F.lit(n).alias("rate"), bucket(F.col(n)).alias("bucket")) for n in RATES))))
+    return placed.groupBy("g_lang", "g_source", "rate", "bucket").agg(F.count("*").alias("n"))
+
+
+def _bounds(sketch: DataFrame, level: str, fence: float, *keys: str) -> DataFrame:
+    """The keys and a struct ``level`` of n and the fences of each rate."""
+    of = Window.partitionBy(*keys, "rate")
+    ranked = sketch.withColumn("all", F.sum("n").over(of)).withColumn("upto", F.sum("n").over(of.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
+    value = lambda k: F.when(k == _ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), k) * (2 / (1 + GAMMA)))
+    found = [F.max("all").alias("n")]
+    for n, (upper, share, least, two_sided) in RATES.items():
+        low, high = (value(F.min(F.when((F.col("rate") == n) & (F.col("upto") > p * (F.col("all") - 1)), F.col("bucket")))) for p in (1 - upper, upper))
+        reach = F.lit(fence * share) * F.greatest(high - low, F.lit(least))
+        found.append(F.struct((low - reach if two_sided else F.lit(None).cast("double")).alias("low"), (high + reach).alias("high")).alias(n))
+    return ranked.groupBy(*keys).agg(*found).select(*keys, F.struct("n", *RATES).alias(level))
+
+
 def fences(counts: DataFrame, fence: float = FENCE, min_group: int = MIN_GROUP) -> DataFrame:
     """One row for each (g_lang, g_source): n_group and for each rate its low and high fence."""
     rates = counts.where(~_failed()).select(_level("lang").alias("g_lang"), _level("source").alias("g_source"), *(c.alias(n) for n, c in _rates().items()))
-    group = rates.groupBy("g_lang", "g_source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(n, F.lit(SKETCH_K)).alias(n) for n in RATES))
-    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(n, F.lit(SKETCH_K)).alias(n) for n in RATES)]
-    lang = group.groupBy("g_lang").agg(*merged)
-    whole = lang.groupBy(F.lit(0).alias("one")).agg(*merged)  # one row a language goes in
-
-    def bounds(df: DataFrame, level: str, *keys: str) -> DataFrame:
-        found = []
-        for n, (upper, share, least, two_sided) in RATES.items():
-            low, high = (F.kll_sketch_get_quantile_double(n, F.lit(p)) for p in (1 - upper, upper))
-            reach = fence * share * F.greatest(high - low, F.lit(least))
-            found.append(F.struct((low - reach if two_sided else F.lit(None).cast("double")).alias("low"), (high + reach).alias("high")).alias(n))
-        return df.select(*keys, F.struct(F.col("n").alias("n"), *found).alias(level))
-
+    group = _sketches(rates)
+    lang = group.groupBy("g_lang", "rate", "bucket").agg(F.sum("n").alias("n"))
+    whole = lang.groupBy(F.lit(0).alias("one"), "rate", "bucket").agg(F.sum("n").alias("n"))
     # every group has its language, and there is one row of the whole; at most as many rows as languages
-    up = F.broadcast(bounds(lang.withColumn("one", F.lit(0)), "l", "g_lang", "one").join(F.broadcast(bounds(whole, "w", "one")), "one").drop("one"))
-    both = bounds(group, "g", "g_lang", "g_source").join(up, "g_lang")
+    up = F.broadcast(_bounds(lang, "l", fence, "g_lang").withColumn("one", F.lit(0)).join(F.broadcast(_bounds(whole, "w", fence, "one")), "one").drop("one"))
+    both = _bounds(group, "g", fence, "g_lang", "g_source").join(up, "g_lang")
     pick = lambda n: F.when(F.col("g.n") >= min_group, F.col(f"g.{n}")).when(F.col("l.n") >= min_group, F.col(f"l.{n}")).otherwise(F.col(f"w.{n}")).alias(n)
     return both.select("g_lang", "g_source", F.col("g.n").alias("n_group"), *(pick(n) for n in RATES))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +73,48 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents")).drop("n_lines")
 
 
+_LN_GAMMA = math.log(quality.GAMMA)
+_RATE = "select g_lang, g_source, doc_id, '{}' as rate, {} as v from fine"
+# rate, upper quantile, reach in ranges, least range, whether low values are out of line
+_LIMITS = ", ".join(f"('{n}', {1 - u!r}, {u!r}, {quality.FENCE * share!r}, {least!r}, {low})" for n, (u, share, least, low) in quality.RATES.items())
+_LEVEL = """
+  select {keys} l.rate, max("all") as n, any_value(l.two) as two, any_value(l.reach) as reach, any_value(l.least) as least,
+         min(case when upto > l.p * ("all" - 1) then bucket end) as lo, min(case when upto > l.q * ("all" - 1) then bucket end) as hi
+  from (select *, sum(n) over (partition by {keys} rate) as "all", sum(n) over (partition by {keys} rate order by bucket rows unbounded preceding) as upto
+        from (select {keys} rate, bucket, sum(n) as n from sketch group by all)) s join limits l on l.rate = s.rate group by {keys} l.rate"""
+_FENCE = """
+  select * exclude (lo, hi), case when two then lo - reach * greatest(hi - lo, least) end as low, hi + reach * greatest(hi - lo, least) as high
+  from (select * replace (case when lo = {zero} then 0.0::double else pow({gamma}::double, lo) * {middle}::double end as lo,
+                          case when hi = {zero} then 0.0::double else pow({gamma}::double, hi) * {middle}::double end as hi) from ({level}))"""
+_fence_of = lambda keys: _FENCE.format(zero=quality._ZERO, gamma=repr(quality.GAMMA), middle=repr(2 / (1 + quality.GAMMA)), level=_LEVEL.format(keys=keys))
+
+OP6_SQL = rf"""
+with split as (
+  select doc_id, lang, source, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from documents),
+windows as (
+  select doc_id, unnest(range(1, len(w) - 1)) as i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) as s from split where len(w) > 2),
+twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, s) as n from windows) where n > 1),
+spread as (select doc_id, count(distinct i + k) as n from twice, range(3) r(k) group by doc_id),
+counts as (
+  select s.doc_id, lang, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols,
+         (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words, len(l) as n_lines,
+         len(w) < 50 or 100 * coalesce(n, 0) > 50 * len(w) as base_failed, coalesce('=' || lang, '-') as g_lang, coalesce('=' || source, '-') as g_source
+  from split s left join spread x on x.doc_id = s.doc_id),
+fine as (select * from counts where not base_failed),
+rates as ({" union all ".join(_RATE.format(n, f"case when {b} > 0 then {a} / {b} else 0.0 end::double") for n, a, b in (("word_length", "word_chars", "n_words"), ("symbol_rate", "n_symbols", "n_words"), ("dup_line_rate", "n_dup_lines", "n_lines"), ("repeat_rate", "n_repeat_words", "n_words")))}),
+sketch as (select g_lang, g_source, rate, case when v > 0 then ceil(ln(v) / {_LN_GAMMA!r}::double)::int else {quality._ZERO} end as bucket, count(*) as n from rates group by all),
+limits(rate, p, q, reach, least, two) as (select a, b::double, c::double, d::double, e::double, f from (values {_LIMITS}) v(a, b, c, d, e, f)),
+g as ({_fence_of("g_lang, g_source, ")}), l as ({_fence_of("g_lang, ")}), a as ({_fence_of("")}),
+out_of_line as (
+  select distinct r.doc_id from rates r join g on g.g_lang = r.g_lang and g.g_source = r.g_source and g.rate = r.rate join l on l.g_lang = r.g_lang and l.rate = r.rate join a on a.rate = r.rate
+  where v > case when g.n >= {quality.MIN_GROUP} then g.high when l.n >= {quality.MIN_GROUP} then l.high else a.high end
+     or v < case when g.n >= {quality.MIN_GROUP} then g.low when l.n >= {quality.MIN_GROUP} then l.low else a.low end)
+select c.doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and o.doc_id is null as kept
+from counts c left join out_of_line o on o.doc_id = c.doc_id
+"""
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -115,4 +158,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1_SQL, "op4_decontamination": OP4_SQL, "op9_url_filter": OP9_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op4_decontamination": OP4_SQL, "op6_quality_rules": OP6_SQL, "op9_url_filter": OP9_SQL}
