@@ -124,29 +124,32 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, urls.LISTED))).alias("entry"))
-    return urls.judge(table(spark, sf_dir, "pages"), listed)
+    return urls.judge(table(spark, sf_dir, "pages"), urls.listed_sites(spark))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-OP9_SQL = r"""
+_VALUES = lambda *rows: ", ".join(f"('{x}')" for x in rows)
+_SITES = " union all ".join(f"select a || '-' || b as ab, b || '-' || a as ba from (values {_VALUES(*x)}) x(a), (values {_VALUES(*y)}) y(b)" for x, y in urls.SITE_WORDS)
+OP9_SQL = rf"""
 with u as (
   select page_id,
          translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
          coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path
   from pages),
 rules(verdict, h, p) as (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
-hosts(entry, h) as (values ('casino-win.example.com/', 'casino-win.example.com'), ('free-bets.example.com/', 'free-bets.example.com'), ('cheap-pills.example.com/', 'cheap-pills.example.com'), ('ads-track.example.com/', 'ads-track.example.com')),
+names as (select unnest([ab, ba]) as name from ({_SITES})),
+hosts as (select distinct name || '.' || suffix || '/' as entry, name || '.' || suffix as h from names, (values {_VALUES(*urls.SITE_SUFFIXES)}) s(suffix)),
 fits as (
   select d.host, d.path, max_by(r.h || r.p, length(r.h || r.p)) as rule, max_by(r.verdict, length(r.h || r.p)) as verdict
   from (select distinct host, path from u) d join rules r on (d.host = r.h or ends_with(d.host, '.' || r.h)) and starts_with(d.path, r.p)
   group by 1, 2),
 lists as (
-  select d.host, min_by(l.entry, length(l.entry)) as listed
-  from (select distinct host from u) d join hosts l on d.host = l.h or ends_with(d.host, '.' || l.h) group by 1)
+  select d.host, min_by(l.entry, (length(l.entry), l.entry)) as listed
+  from (select distinct host, trim(lower(url_decode(regexp_replace(regexp_replace(host, '^.*@', '', 's'), ':[0-9]*$', ''))), '.') as bare from u) d
+  join hosts l on d.bare = l.h or ends_with(d.bare, '.' || l.h) group by 1)
 select u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, case when l.listed is not null then 'block' else 'allow' end) as verdict, l.listed
 from u left join fits f on u.host = f.host and u.path = f.path left join lists l on u.host = l.host
 """

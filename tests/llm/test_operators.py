@@ -309,7 +309,7 @@ def test_url_list_of_many_entries(spark):
     pages = spark.range(9000).selectExpr("id as page_id", "concat('http://www.h', id, '.test/p') as url")
     found = urls.judge(pages, listed)
     assert found.where("verdict = 'block'").selectExpr("count(*)", "max(page_id)").first()[:] == (3000, 2999)
-    words, blocks = urls.bloom(listed)
+    words, blocks = urls.bloom(listed, 3000)
     assert len(words.first().words) == blocks * urls.WORDS_PER_BLOCK
 
 
