@@ -33,8 +33,11 @@ _RUN = re.compile(r"\s(?=\s)")
 #: Points and commas that are not pieces of their own: next to a symbol, or also after a space.
 _BOUND_MARK = re.compile(r"[.,](?:(?<=[^\w\s].)|(?<=_.)|(?=[^\w\s]|_))", re.S)
 _BOUND_OR_SPACED_MARK = re.compile(r"[.,](?:(?<=[\W_].)|(?=[^\w\s]|_))", re.S)
-#: Between texts; one that holds it, or the sign of a cut, is encoded whole.
+#: Between texts.
 _END = "\x02"
+#: Control characters, some of which are white space to one library only; a text that holds one, which
+#: may be the sign of a cut or an end, too, is encoded whole.
+_ODD = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 
 
 class _Memo(dict):
@@ -59,7 +62,7 @@ class _Memo(dict):
 class Encoder:
     """Encodes texts to little-endian ids of 2 or 4 bytes with a file of the tokenizers library.
 
-    Strings that look like special tokens are ordinary text.
+    The ids are those of the library's plain call on the whole text, special tokens included.
     """
 
     def __init__(self, vocabulary: str):
@@ -68,7 +71,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
-        self.tokenizer.encode_special_tokens = True
+        # strings with an id of their own are found in the whole text, before it is cut
+        added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()}, key=len)
+        self.whole = re.compile("|".join([_ODD, *map(re.escape, added)]), re.I)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         # white space is dropped and case folded by the one kind; the other keeps both
         self.drops_space = self.plain_ids("a B") == self.plain_ids("a") + self.plain_ids("b")
@@ -85,7 +90,7 @@ class Encoder:
 
     def _cut(self, text: str) -> str | None:
         """The text with its cuts marked; None where it must be encoded whole."""
-        if _END in text or "\0" in text:
+        if self.whole.search(text):
             return None
         if self.drops_space:
             try:
