@@ -1,8 +1,9 @@
 """Main text of web pages with a site style tree.
 
-First pass: every page is parsed into elements, each known by its path of tags, classes and ids.
-Per page and path it reports the page's presentation there (the sequence of child tags) and the
-content (its blocks of text), as hashes.  Merged over the pages of a host this is the site style
+First pass: every page is parsed into elements, each known by the hashes of its path of tags,
+classes and ids.  Per page and path it reports the page's presentation there (the sequence of child
+tags) and the content (its blocks of text), as hashes.  The tree has LEVELS levels; what lies deeper
+counts for the element at the last of them, so no nesting makes a page large.  Merged over the pages of a host this is the site style
 tree.  The importance of a path is the entropy of its presentations, and for content 1 minus the
 mean entropy of its blocks over the pages; a branch combines its paths, weighted down by depth.
 All of this is grouped counts, combined map-side, so a hot host is spread by path and content.
@@ -16,9 +17,12 @@ what stands outside goes only where they hold most of the text that is left.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
@@ -35,16 +39,20 @@ MIN_PAGES = 10
 INSIDE_SHARE = 0.5
 #: Weight of a path in its ancestor's importance, for each level between them.
 DECAY = 0.9
-#: Longest name of an element that is kept as it is.
-MAX_STEP = 80
-#: Rows of the pruned branches that are broadcast; more are joined by host.
+#: Levels of the tree; deeper elements belong to their ancestor there.
+LEVELS = 64
+#: Pruned branches, of 16 bytes each, that are broadcast; more are joined by host.
 BROADCAST_ROWS = 200_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>""", re.S)
+#: For pages where a quotation mark is never closed: a tag ends at the first bracket.
+_PLAIN_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>()()()|<[!?/][^>]*+>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in _RAW}
+_MASK = (1 << 64) - 1
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that a start tag closes if open: the closed ones, and what the search does not cross.
 _CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr",)), "th": (("td", "th"), ("tr",)), "option": (("option",), ("select",)), "tbody": (("tr", "td", "th", "thead", "tbody"), ("table",)), "tfoot": (("tr", "td", "th", "thead", "tbody"), ("table",))}
@@ -53,15 +61,59 @@ _NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search
 _NOT_TEXT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login comment comments commentlist replies disqus social share sharing related recommended toolbar pagination pager masthead".split()
 )
+#: Words that say nothing about a part, beside one that does: ``ad-slot``, ``site-nav``, ``cookie-banner``.
+_NEUTRAL_WORDS = frozenset("area bar block bottom box btn button buttons container content global group holder inner item items js left link links list main outer page panel primary right row secondary section site slot sticky thread top unit widget wrap wrapper".split())
+
+
+def _told(names: str, words: frozenset[str]) -> bool:
+    """Whether a class or id is made of ``words``, apart from neutral ones, and not of others too.
+
+    So ``share`` and ``ad-slot`` are told, ``share-price`` and ``social-history`` are not.
+    """
+    for token in names.split():
+        parts = _NAME.findall(token)
+        if any(p in words for p in parts) and all(p in words or p in _NOT_TEXT_WORDS or p in _NEUTRAL_WORDS for p in parts):
+            return True
+    return False
+
+
+_SITE_WORDS = frozenset({"header", "footer"})
+_ASIDE_WORDS = frozenset({"comment", "comments", "ad", "ads", "advert", "promo", "related"})
+
+
+@dataclass(slots=True)
+class _Open:
+    """An open element: its path's hashes, whether they may be pruned, its block and what it is in."""
+
+    tag: str
+    chain: tuple[int, ...]
+    prunable: tuple[int, ...]
+    block: tuple[tuple[int, ...], tuple[int, ...]]
+    article: bool
+    main: bool
+    declared: bool
+
+
+@dataclass(slots=True)
+class _Block:
+    """A block of text: the path it stands at, those of its branches that may be pruned, and what it is in."""
+
+    chain: tuple[int, ...]
+    prunable: tuple[int, ...]
+    text: str
+    article: bool
+    main: bool
+    declared: bool
 
 
 class Page:
-    """Blocks of text and, per path, the child tags of one parsed page."""
+    """Blocks of text and, per path, the child tags of one parsed page; linear in its length."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, bool, bool, bool]] = []  # path, text, in article, in main, declared
-        self.children: dict[str, list[str]] = {}
-        self._stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
+        self.blocks: list[_Block] = []
+        self.children: dict[tuple[int, ...], list[str]] = {}
+        self._stack = [_Open("", (), (), ((), ()), False, False, False)]
+        self._places: dict[str, list[int]] = defaultdict(list)  # of open elements, by tag
         self._held: list[str] = []
         self._parse(source)
 
@@ -70,45 +122,58 @@ class Page:
             text = " ".join(html.unescape("".join(self._held)).split())
             self._held = []
             if text:
-                at = next((s for s in reversed(self._stack) if s[0] in _BLOCK), self._stack[0])
                 top = self._stack[-1]
-                self.blocks.append((at[1], text, top[2], top[3], top[4]))
+                self.blocks.append(_Block(*top.block, text, top.article, top.main, top.declared))
 
     def _open(self, tag: str, raw: str) -> None:
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if "=" in raw else {}
         names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-        _, path, article, main, dropped = self._stack[-1]
+        up = self._stack[-1]
+        article, main = up.article, up.main
         role = found.get("role", "").lower()
-        words = set(_NAME.findall(names)) if names != " " else set()
-        declared = tag in _NOT_TEXT or role in _NOT_TEXT_ROLES or not words.isdisjoint(_NOT_TEXT_WORDS)
+        named = names != " "
+        declared = tag in _NOT_TEXT or role in _NOT_TEXT_ROLES or (named and _told(names, _NOT_TEXT_WORDS))
         if not article and not main:  # a site's header; an article's own holds its title
-            declared = declared or tag == "header" or not words.isdisjoint({"header", "footer"})
-        step = tag + "".join(f".{w}" for w in sorted(set(names.split()))) if names != " " else tag
-        if len(step) > MAX_STEP:  # a hash stands for all of a long name
-            step = f"{tag}.{xxhash.xxh128_hexdigest(step.encode(errors='surrogatepass'))}"
-        self.children.setdefault(path, []).append(step)
+            declared = declared or tag == "header" or (named and _told(names, _SITE_WORDS))
+        step = tag + "".join(f".{w}" for w in sorted(set(names.split()))) if named else tag
+        self.children.setdefault(up.chain, []).append(step)
         # an article or main part stands for itself, unless it is declared to be something else
         if declared and tag in ("body", "html", "article", "main"):
-            declared = tag == "article" and not words.isdisjoint({"comment", "comments", "ad", "ads", "advert", "promo", "related"})
+            declared = tag == "article" and _told(names, _ASIDE_WORDS)
         article = article or (tag == "article" and not declared) or found.get("itemprop") == "articleBody"
         main = main or tag == "main" or role == "main"
-        self._stack.append((tag, f"{path}/{step}", article, main, dropped or declared))
+        chain, prunable = up.chain, up.prunable
+        if len(chain) < LEVELS:
+            key = xxhash.xxh64_intdigest(step.encode(errors="surrogatepass"), chain[-1] & _MASK if chain else 0) - (1 << 63)
+            chain = (*chain, key)
+            prunable = prunable if tag in ("html", "body") else (*prunable, key)
+        block = (chain, prunable) if tag in _BLOCK else up.block
+        self._places[tag].append(len(self._stack))
+        self._stack.append(_Open(tag, chain, prunable, block, article, main, up.declared or declared))
+
+    def _cut(self, at: int) -> None:
+        """Close the open elements from the place ``at`` on."""
+        while len(self._stack) > at:
+            self._places[self._stack.pop().tag].pop()
 
     def _close(self, tags: tuple[str, ...], limits: tuple[str, ...]) -> None:
         """Close the outermost open element of ``tags`` above the innermost of ``limits``."""
-        at = None
-        for i in range(len(self._stack) - 1, 0, -1):
-            if self._stack[i][0] in limits:
-                break
-            if self._stack[i][0] in tags:
-                at = i
-        if at is not None:
-            del self._stack[at:]
+        limit = max((p[-1] for t in limits if (p := self._places[t])), default=0)
+        found = [p[i] for t in tags if (p := self._places[t]) and (i := bisect.bisect_right(p, limit)) < len(p)]
+        if found:
+            self._cut(min(found))
 
     def _parse(self, source: str) -> None:
-        pos, end = 0, len(source)
+        pos, end, token = 0, len(source), _TOKEN
+        last = source.rfind(">")
         while pos < end:
-            m = _TOKEN.search(source, pos)
+            if pos > last:  # no tag ends any more; a comment may be open
+                self._held.append(source[pos:].partition("<!--")[0])
+                break
+            m = token.search(source, pos)
+            if m is not None and m[5] is not None and token is _TOKEN:
+                # a quotation mark stays open to the end: from here on none of them counts
+                token = _PLAIN_TOKEN
             if m is None:
                 self._held.append(source[pos:])
                 break
@@ -123,18 +188,17 @@ class Page:
                     self._flush()
                 if tag == "br":
                     self._held.append(" ")
-                elif any(s[0] == tag for s in self._stack):
-                    while self._stack.pop()[0] != tag:
-                        pass
+                elif places := self._places.get(tag):
+                    self._cut(places[-1])
                 continue
             raw = m[3] or m[6] or ""
             if tag in _RAW:
-                close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, pos)
+                close = _RAW_END[tag].search(source, pos)
                 pos = close.end() if close else end
                 continue
             if tag in _BLOCK:
                 self._flush()
-                if any(s[0] == "p" for s in self._stack):
+                if self._places.get("p"):
                     self._close(("p",), ("td", "th", "article", "div", "section", "li", "blockquote", "button", "object"))
             if tag in _CLOSES:
                 self._close(*_CLOSES[tag])
@@ -143,51 +207,48 @@ class Page:
             elif tag not in _VOID and not raw.endswith("/"):
                 self._open(tag, raw)
             elif tag in _VOID:
-                self.children.setdefault(self._stack[-1][1], []).append(tag)
+                self.children.setdefault(self._stack[-1].chain, []).append(tag)
             else:  # a self-closed element of HTML is open, except the void ones above
                 self._open(tag, raw[:-1])
         self._flush()
 
-    def text(self, pruned: Mapping[str, float], min_importance: float = MIN_IMPORTANCE) -> str:
-        """The article: declared parts and branches of low importance removed."""
+    def text(self, pruned: Mapping[int, float], min_importance: float = MIN_IMPORTANCE, by_tags: bool = True) -> str:
+        """The article: declared parts and branches of low importance removed.
+
+        Without ``by_tags`` what the markup declares counts for nothing and the tree decides alone.
+        """
         left = []
-        for path, text, article, main, declared in self.blocks:
-            limit = min_importance * INSIDE_SHARE if article or main else min_importance
-            if not declared and not (pruned and any(pruned.get(b, 1.0) < limit for b in _branches(path))):
-                left.append((text, article, main))
-        for part in (1, 2):  # an empty or small article does not stand for the page
-            inside = sum(len(x[0]) for x in left if x[part])
-            if 2 * inside > sum(len(x[0]) for x in left):
-                left = [x for x in left if x[part]]
+        for b in self.blocks:
+            limit = min_importance * INSIDE_SHARE if by_tags and (b.article or b.main) else min_importance
+            if not (by_tags and b.declared) and not (pruned and any(pruned.get(k, 1.0) < limit for k in b.prunable)):
+                left.append(b)
+        for part in ("article", "main") if by_tags else ():  # an empty or small article does not stand for the page
+            inside = sum(len(b.text) for b in left if getattr(b, part))
+            if 2 * inside > sum(len(b.text) for b in left):
+                left = [b for b in left if getattr(b, part)]
                 break
-        return "\n\n".join(x[0] for x in left)
-
-
-def _branches(path: str) -> Iterator[str]:
-    """The branches above a block that may be pruned."""
-    steps, at = path.split("/"), ""
-    for step in steps[1:]:
-        at = f"{at}/{step}"
-        if step.partition(".")[0] not in ("html", "body"):
-            yield at
+        return "\n\n".join(b.text for b in left)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, kind, value): presentations (0) and blocks (1) of each page, once a page."""
+    """(host, path, kind, value): presentations (0) and blocks (1) of each page, once a page.
+
+    A path is the array of its elements' hashes, the root first.
+    """
     for batch in batches:
         hosts, paths, kinds, values = [], [], [], []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             page = Page(source or "")
-            seen = {(p, 0, xxhash.xxh64_intdigest(" ".join(c))) for p, c in page.children.items()}
+            seen = {(p, 0, xxhash.xxh64_intdigest(" ".join(c).encode(errors="surrogatepass"))) for p, c in page.children.items()}
             # an element without children has the empty presentation, so a path counts its pages
-            seen |= {(b[0], 0, xxhash.xxh64_intdigest("")) for b in page.blocks if b[0] not in page.children}
-            seen |= {(b[0], 1, xxhash.xxh64_intdigest(b[1])) for b in page.blocks}
+            seen |= {(b.chain, 0, xxhash.xxh64_intdigest("")) for b in page.blocks if b.chain not in page.children}
+            seen |= {(b.chain, 1, xxhash.xxh64_intdigest(b.text.encode(errors="surrogatepass"))) for b in page.blocks}
             for p, k, v in seen:
                 hosts.append(host)
                 paths.append(p)
                 kinds.append(k)
                 values.append(v - (1 << 63))
-        yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "path": pa.array(paths, pa.string()), "kind": pa.array(kinds, pa.int32()), "value": pa.array(values, pa.int64())})
+        yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "path": pa.array(paths, pa.list_(pa.int64())), "kind": pa.array(kinds, pa.int32()), "value": pa.array(values, pa.int64())})
 
 
 def _host():
@@ -195,8 +256,8 @@ def _host():
 
 
 def template_branches(pages: DataFrame, min_importance: float = MIN_IMPORTANCE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, path, importance) of the branches to prune, from the hosts' style trees."""
-    seen = pages.select(_host().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_features, "host string, path string, kind int, value long")
+    """(host, branch, importance) of the branches to prune, from the hosts' style trees."""
+    seen = pages.select(_host().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_features, "host string, path array<long>, kind int, value long")
     value = seen.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
     # presentations of a path add up to its pages, since a page has one of each path
     node = value.groupBy("host", "path").agg(
@@ -211,26 +272,26 @@ def template_branches(pages: DataFrame, min_importance: float = MIN_IMPORTANCE,
     content = F.when((F.col("m") > 1) & (F.col("blocks") > 0), 1 - F.col("log_n") / F.col("blocks") / F.log("m"))
     node = node.select("host", "path", "m", F.when(F.col("m") <= 1, F.lit(1.0)).otherwise(F.coalesce(content, style, F.lit(1.0))).alias("importance"))
     # a path counts for itself and, ever less, for the branches above it
-    steps = F.split("path", "/")
-    up = node.select("host", "path", "m", "importance", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))).alias("level", "branch"))
-    weight = F.pow(F.lit(DECAY), F.size(F.split("path", "/")) - 1 - F.col("level"))
-    branch = up.groupBy("host", "branch").agg((F.sum(F.col("importance") * weight) / F.sum(weight)).alias("importance"), F.max(F.when(F.col("path") == F.col("branch"), F.col("m"))).alias("pages"))
+    up = node.where(F.size("path") > 0).select("host", "m", "importance", F.size("path").alias("depth"), F.posexplode("path").alias("level", "branch"))
+    below = F.col("depth") - 1 - F.col("level")
+    weight = F.pow(F.lit(DECAY), below)
+    branch = up.groupBy("host", "branch").agg((F.sum(F.col("importance") * weight) / F.sum(weight)).alias("importance"), F.max(F.when(below == 0, F.col("m"))).alias("pages"))
     # a host whose pages differ nowhere shows copies of one page
     host = node.groupBy("host").agg(F.max(F.when(F.col("m") > 1, F.col("importance"))).alias("whole"))
     low = branch.join(host, "host").where((F.col("pages") >= min_pages) & (F.col("importance") < min_importance) & (F.col("whole") >= min_importance))
-    return low.select("host", F.col("branch").alias("path"), "importance")
+    return low.select("host", "branch", "importance")
 
 
-def _extract(min_importance: float):
+def _extract(min_importance: float, by_tags: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(source or "").text({x["path"]: x["importance"] for x in pruned or ()}, min_importance) for source, pruned in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [Page(source or "").text({x["branch"]: x["importance"] for x in pruned or ()}, min_importance, by_tags) for source, pruned in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
 
 
-def extract(pages: DataFrame, min_importance: float = MIN_IMPORTANCE, min_pages: int = MIN_PAGES) -> DataFrame:
+def extract(pages: DataFrame, min_importance: float = MIN_IMPORTANCE, min_pages: int = MIN_PAGES, by_tags: bool = True) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     ``pages`` needs page_id, url and html; other columns are ignored.
@@ -238,11 +299,13 @@ def extract(pages: DataFrame, min_importance: float = MIN_IMPORTANCE, min_pages:
     Defined results: a null html is empty and has empty text; pages with a null url or none that
     names a host share the empty host; a null page_id stays null; repeated rows give repeated
     rows.  An empty table gives no rows.  A branch seen on fewer than ``min_pages`` pages of its host
-    is kept whatever its importance, as so few pages do not tell template from copies.
+    is kept whatever its importance, as so few pages do not tell template from copies.  Elements
+    nested deeper than LEVELS share the fate of their ancestor there.  A quotation mark that a tag
+    never closes ends quoting for the rest of the page.  Without ``by_tags`` only the tree decides.
     """
     ws = Workspace(pages.sparkSession, "html")
     low = ws.write(template_branches(pages, min_importance, min_pages), "templates")
-    pruned = low.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("pruned"))  # paths of one host's templates
+    pruned = low.groupBy("host").agg(F.collect_list(F.struct("branch", "importance")).alias("pruned"))  # branches of one host's templates
     pruned = F.broadcast(pruned) if low.count() <= BROADCAST_ROWS else pruned
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), _host().alias("host"))
-    return rows.join(pruned, "host", "left").select("page_id", "url", "html", "pruned").mapInArrow(_extract(min_importance), "page_id long, url string, text string, n_chars long")
+    return rows.join(pruned, "host", "left").select("page_id", "url", "html", "pruned").mapInArrow(_extract(min_importance, by_tags), "page_id long, url string, text string, n_chars long")
