@@ -21,8 +21,9 @@ def _layout(pages) -> PageLayout:
 
 def extract(spark: SparkSession, path: str, pages: list[int] | None):
     """(path, page, text) of all pages; a blank page has empty text."""
-    parsed = pdf.read(spark, path, pages=pages, mode="FAILFAST")
-    return parsed.select("doc_id", "path", "page").join(_layout(parsed).text, ["doc_id", "page"], "left").select("path", "page", F.coalesce("text", F.lit("")).alias("text"))
+    files = pdf.files(spark, path)
+    found = stream_pages(pdf.parse(files, pages=pages, mode="FAILFAST")).rows("text", blank=True)
+    return found.join(files.select("doc_id", "path"), "doc_id").select("path", "page", "text")
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -50,10 +51,11 @@ def main(argv: list[str] | None = None) -> int:
         found = xref.entries(pdf.files(spark, a.path))
         for r in xref.dump(found, a.free).orderBy("doc_id", "obj").toLocalIterator():
             print(r.line)
-        for r in xref.summary(found).toLocalIterator():
-            print(f"  {r.in_use} in-use   {r.free} free")
+        tails = xref.trailer_dump(xref.trailers(pdf.files(spark, a.path)))
+        for r in tails.join(xref.summary(found), "doc_id", "left").orderBy("doc_id").toLocalIterator():
+            print(f"\n{r.text}\n\n  {r.in_use or 0} in-use   {r.free or 0} free")
     elif a.command == "stream":
-        for r in listing.rendered(listing.listing(content_ops(pdf.read(spark, a.path, pages=[a.page])))).toLocalIterator():
+        for r in listing.rendered(listing.listing(content_ops(pdf.read(spark, a.path, pages=[a.page], mode="FAILFAST")))).toLocalIterator():
             print(r.text)
     elif a.command == "mapping":
         glyphs = _layout(pdf.read(spark, a.path, pages=[a.page], mode="FAILFAST")).glyphs
@@ -62,9 +64,14 @@ def main(argv: list[str] | None = None) -> int:
     else:
         pages = pdf.read(spark, a.path, pages=[a.page], mode="FAILFAST")
         if a.command == "render":
-            png = paint.render(pages, a.dpi).first().png
+            row = paint.render(pages, a.dpi).first()
+            if row is None or row.png is None:
+                sys.exit(f"nothing to render below {a.path}")
+            png = row.png
         else:
             layout, size = _layout(pages), pages.select("width", "height").first()
+            if size is None:
+                sys.exit(f"no files below {a.path}")
             boxes = {k: [tuple(r) for r in df.select("x0", "y0", "x1", "y1").collect()] for k, df in (("words", layout.words), ("lines", layout.lines), ("blocks", layout.blocks))}
             png = paint.render_overlay(size.width, size.height, boxes, a.dpi).png()
         with open(a.out, "wb") as out:

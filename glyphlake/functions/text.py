@@ -40,9 +40,10 @@ def hex_character(digits: Column) -> Column:
 
 
 def pdf_string(b: Column) -> Column:
-    """The text of string bytes: UTF-16 with a byte-order mark, else UTF-8, else Latin-1."""
-    utf16 = F.substring(F.hex(b), 1, 4) == "FEFF"
-    rest = F.substring(b, 3, 1 << 30)
+    """The text of string bytes: sound UTF-16 with a byte-order mark, else UTF-8, else Latin-1."""
+    digits, rest = F.hex(b), F.substring(b, 3, 1 << 30)
+    # whole units only, high surrogates before low ones
+    utf16 = digits.rlike("^FEFF(?:(?!D[89A-F])[0-9A-F]{4}|D[89AB][0-9A-F]{2}D[C-F][0-9A-F]{2})*+$")
     return F.when(utf16, F.decode(rest, "UTF-16BE")).when(F.is_valid_utf8(b.cast("string")), b.cast("string")).otherwise(F.decode(b, "ISO-8859-1"))
 
 

@@ -79,8 +79,12 @@ def name(token: bytes) -> Name:
     return Name(_NAME_CODE.sub(lambda m: bytes([int(m[1], 16)]), token[1:]))
 
 
+#: Digits of whole numbers that stay whole; longer ones are reals, at last infinite.
+_WHOLE = 300
+
+
 def number(token: bytes) -> int | float:
-    return float(token) if b"." in token else int(token)
+    return float(token) if b"." in token or len(token) > _WHOLE else int(token)
 
 
 def operations(data: bytes) -> Iterator[tuple[str, list[Any]]]:

@@ -29,8 +29,9 @@ SCHEMA = "doc_id long, page int, seq long, glyph_id long, x float, y float, x0 f
 
 
 def real(v: Any) -> np.float32:
-    """A numeric operand; 0 for anything else."""
-    return f32(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else f32(0)
+    """A numeric operand, infinite beyond 32-bit floats; 0 for anything else."""
+    with np.errstate(over="ignore"):
+        return f32(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else f32(0)
 
 
 def mul(m: Matrix, n: Matrix) -> Matrix:
@@ -138,8 +139,9 @@ class TextState:
 def glyphs_of(content: bytes) -> list[tuple]:
     """Columns (id, x, y, x1, y1, size, font) of each shown string of a page."""
     state = TextState()
-    for op, operands in operations(content):
-        state.apply(op, operands)
+    with np.errstate(all="ignore"):  # infinite operands give positions that are no numbers
+        for op, operands in operations(content):
+            state.apply(op, operands)
     return state.out
 
 

@@ -40,9 +40,27 @@ def rects(df: DataFrame, layer: str, seq: Column) -> DataFrame:
     return df.select(*PAGE, F.lit(layer).alias("layer"), seq.cast("bigint").alias("seq"), shape.alias("rect"))
 
 
+def documents(found: DataFrame) -> DataFrame:
+    """(doc_id, page, trace): the events of a page as one JSON document, stage by stage."""
+    stages = F.array(*map(F.lit, ("glyph", "mapping", "word", "line", "block", "reading_order")))
+    each = F.struct(F.array_position(stages, F.col("stage")).alias("place"), "seq", "payload")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda e: e["payload"]), ",")
+    return found.groupBy(*PAGE).agg(F.concat(F.lit('{"events":['), listed, F.lit("]}")).alias("trace"))
+
+
+def order_note(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page, layer, seq, rect): the reading order as a remark, the overlay's last layer."""
+    order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "block_no"))), lambda b: b["block_no"].cast("string")), ", ")
+    return blocks.groupBy(*PAGE).agg(F.concat(F.lit("<!-- order: ["), order, F.lit("] -->")).alias("rect")).select(*PAGE, F.lit("order").alias("layer"), F.lit(0).cast("bigint").alias("seq"), "rect")
+
+
 def svg(parts: DataFrame, width: float, height: float) -> DataFrame:
-    """(doc_id, page, svg): the layers of a page in one picture, turned to y downwards."""
+    """(doc_id, page, svg): the layers of a page in one picture, turned to y downwards.
+
+    ``parts`` are rows of ``rects`` and ``order_note``.
+    """
     body = lambda layer: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("layer") == layer, F.struct("seq", "rect")))), lambda r: r["rect"]), "")
     groups = [F.concat(F.lit(f'<g id="{k}" opacity="{OPACITY[k]}">'), body(k), F.lit("</g>")) for k in STROKES]
+    groups.append(F.concat(F.lit('<g id="order">'), body("order"), F.lit("</g>")))
     head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:g}" height="{height:g}" viewBox="0 0 {width:g} {height:g}"><g transform="translate(0,{height:g}) scale(1,-1)">'
     return parts.groupBy(*PAGE).agg(F.concat(F.lit(head), *groups, F.lit("</g></svg>")).alias("svg"))

@@ -71,6 +71,14 @@ def dump(found: DataFrame, show_free: bool = False) -> DataFrame:
     return shown.select("doc_id", "obj", F.concat(F.format_string("  %4d  %3d  ", "obj", "gen"), detail).alias("line"))
 
 
+def trailer_dump(found: DataFrame) -> DataFrame:
+    """(doc_id, text): the printed block of a trailer, from ``trailers``."""
+    reference = lambda name, key: F.concat(F.lit(f"\n  /{name}  "), f"{key}_obj", F.lit(" "), F.coalesce(F.col(f"{key}_gen"), F.lit(0)), F.lit(" R"))
+    optional = lambda text: F.coalesce(text, F.lit(""))
+    prev = F.concat(F.lit("\n  /Prev  "), "prev", F.lit("  (incremental update)"))
+    return found.select("doc_id", F.concat(F.lit("Trailer"), reference("Root", "root"), optional(reference("Info", "info")), F.concat(F.lit("\n  /Size  "), "size"), optional(prev)).alias("text"))
+
+
 def parse_events(files: DataFrame) -> DataFrame:
     """(doc_id, seq, event, payload): what a reader of the tables meets, in order, as JSON.
 

@@ -28,7 +28,23 @@ _STREAM = re.compile(rb"[ \t\r\n]*stream(?:\r\n|\n|\r)")
 
 
 class PdfError(ValueError):
-    """A file that cannot be opened."""
+    """A file that cannot be opened; the text says why."""
+
+
+class PageNotFound(PdfError):
+    """A page beyond the document's last."""
+
+    def __init__(self, page: int):
+        super().__init__(f"page {page} not found")
+
+
+#: What damaged objects raise on their way: wrong types, missing parts, numbers out of range.
+DAMAGE = (ValueError, TypeError, LookupError, AttributeError, ArithmeticError, RecursionError, zlib.error)
+
+
+def described(e: Exception) -> str:
+    """The text of an error row: what a PdfError says, else the kind of damage."""
+    return str(e) if isinstance(e, PdfError) else f"malformed: {type(e).__name__}: {str(e)[:200]}"
 
 
 class Stream(dict):
@@ -81,7 +97,8 @@ def unfilter(stream: Stream, resolve) -> bytes:
     """A stream's data without its filters; data under an unknown filter stays as it is."""
     data, filters = stream.data, resolve(stream.get(b"Filter"))
     for f in filters if isinstance(filters, list) else [filters] if filters else []:
-        match bytes(resolve(f)):
+        f = resolve(f)
+        match bytes(f) if isinstance(f, bytes) else b"":
             case b"FlateDecode" | b"Fl":
                 d = zlib.decompressobj()
                 try:
@@ -114,6 +131,7 @@ class Pdf:
         # later definitions of an object win, as in an updated file
         self.at = {int(m[1]): m.end() for m in _OBJECT.finditer(data)}
         self.held: dict[int, Any] = {}
+        self.reading: set[int] = set()
         trailer = data.rfind(b"trailer")
         self.trailer = parse_value(data, trailer + 7)[0] if trailer >= 0 else None
         if not strict:
@@ -135,13 +153,15 @@ class Pdf:
 
     def object(self, n: int) -> Any:
         if n not in self.held:
-            if n not in self.at:
+            if n not in self.at or n in self.reading:  # an object that needs itself has no value
                 return None
             value, end = parse_value(self.data, self.at[n])
             if isinstance(value, dict) and (m := _STREAM.match(self.data, end)):
                 stream = Stream(value)
                 size = value.get(b"Length")
+                self.reading.add(n)
                 size = self.object(size[0]) if isinstance(size, Reference) else size
+                self.reading.discard(n)
                 stop = m.end() + size if isinstance(size, int) else -1
                 if stop < 0 or not re.compile(rb"[ \t\r\n]*endstream").match(self.data, stop):
                     stop = self.data.find(b"endstream", m.end())
@@ -159,7 +179,10 @@ class Pdf:
 
     def pages(self) -> Iterator[dict]:
         """Page dictionaries in order; a tree that holds itself is walked once."""
-        work, seen = [self.dictionary(self.trailer[b"Root"]).get(b"Pages")], set()
+        root = self.dictionary(self.trailer[b"Root"]).get(b"Pages")
+        if not self.dictionary(root):
+            raise PdfError("no page tree")
+        work, seen = [root], set()
         while work:
             v = work.pop()
             if isinstance(v, Reference):
@@ -244,19 +267,32 @@ def _parser(wanted: set[int] | None, strict: bool, failfast: bool):
     font = pa.struct([("font_name", pa.string()), ("kind", pa.string()), ("font_matrix", pa.list_(pa.float32())), ("char_procs", maps(pa.binary())), ("widths", maps(pa.float32())), ("program", pa.binary()), ("two_byte", pa.bool_()), ("to_unicode", pa.binary())])
     schema = pa.schema([("doc_id", pa.int64()), ("path", pa.string()), ("page", pa.int32()), ("width", pa.float32()), ("height", pa.float32()), ("content", pa.binary()), ("fonts", pa.list_(font)), ("error", pa.string())])
 
+    def row(doc_id: int, path: str, i: int, pdf: Pdf, page: dict) -> dict:
+        w, h = pdf.size(page)
+        fonts = [f | {k: list(f[k].items()) for k in ("char_procs", "widths") if f[k] is not None} for f in pdf.fonts(page)]
+        return {"doc_id": doc_id, "path": path, "page": i, "width": w, "height": h, "content": pdf.content(page), "fonts": fonts}
+
+    def failed(doc_id: int, path: str, page: int | None, e: Exception) -> dict:
+        if failfast:
+            raise PdfError(f"{path}: {described(e)}") from e
+        return {"doc_id": doc_id, "path": path, "page": page, "error": described(e)}
+
     def rows(doc_id: int, path: str, data: bytes) -> Iterator[dict]:
         try:
             pdf = Pdf(data, strict)
-        except PdfError as e:
-            if failfast:
-                raise PdfError(f"{path}: {e}") from e
-            yield {"doc_id": doc_id, "path": path, "error": str(e)}
+            pages = list(pdf.pages())
+        except DAMAGE as e:
+            yield failed(doc_id, path, None, e)
             return
-        for i, page in enumerate(pdf.pages()):
+        for i, page in enumerate(pages):
             if wanted is None or i in wanted:
-                w, h = pdf.size(page)
-                fonts = [f | {k: list(f[k].items()) for k in ("char_procs", "widths") if f[k] is not None} for f in pdf.fonts(page)]
-                yield {"doc_id": doc_id, "path": path, "page": i, "width": w, "height": h, "content": pdf.content(page), "fonts": fonts}
+                try:
+                    yield row(doc_id, path, i, pdf, page)
+                except DAMAGE as e:  # the other pages may be whole
+                    yield failed(doc_id, path, i, e)
+        for i in sorted(wanted or ()):
+            if not 0 <= i < len(pages):
+                yield failed(doc_id, path, i, PageNotFound(i))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,9 +305,10 @@ def _parser(wanted: set[int] | None, strict: bool, failfast: bool):
 
 
 def parse(files: DataFrame, pages: Iterable[int] | None = None, strict: bool = True, mode: str = "PERMISSIVE") -> DataFrame:
-    """A row for each page of (doc_id, path, content), or one with the error of a file.
+    """A row for each page of (doc_id, path, content), or one with the error of a file or page.
 
-    ``pages`` picks pages from 0 before they are decoded; FAILFAST raises instead of an error row.
+    ``pages`` picks pages from 0 before they are decoded; one that a file lacks is an error.
+    FAILFAST raises instead of an error row.
     """
     run = _parser(None if pages is None else set(pages), strict, mode.upper() == "FAILFAST")
     return files.select(F.col("doc_id").cast("long"), F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(run, PARSED)
@@ -298,7 +335,7 @@ def unicode_programs(parsed: DataFrame) -> DataFrame:
 
 
 def page_counts(parsed: DataFrame) -> DataFrame:
-    return parsed.groupBy("doc_id").agg(F.count("page").alias("n_pages"))
+    return parsed.groupBy("doc_id").agg(F.count(F.when(F.col("error").isNull(), F.col("page"))).alias("n_pages"))
 
 
 # a plain writer, for tests and as a sink

@@ -11,6 +11,7 @@ from glyphlake.operators import listing, paint, trace, xref
 from glyphlake.operators.cmap import page_cmap
 from glyphlake.operators.content import content_ops
 from glyphlake.operators.interpreter import interpret
+from glyphlake.operators.interpreter import pages as stream_pages
 from glyphlake.operators.truetype import TrueType
 from glyphlake.plans.layout import PageLayout
 from glyphlake.sources import pdf
@@ -77,7 +78,7 @@ def test_fonts_and_sizes(spark):
 
 def test_listing(spark):
     found = listing.rendered(listing.listing(content_ops(pages(spark, STREAM, b"100 200.5 300 400 re f 1 0 0 rg q Q [(Hel) -20 (lo)] TJ zz", b"\xff\x00(")))).orderBy("doc_id").collect()
-    assert "┌ BT" in found[0].text and "└ ET" in found[0].text and '"Hello PDF"' in found[0].text and "font=/F1  size=12pt" in found[0].text
+    assert "┌ BT" in found[0].text and "└ ET" in found[0].text and '"Hello PDF"' in found[0].text and "font=/F1  size=12" in found[0].text
     assert "x=100  y=200.5  w=300  h=400" in found[1].text and '"Hello"' in found[1].text and "r=1  g=0  b=0" in found[1].text and "(unknown operator)" in found[1].text
     assert [line.split()[0] for line in found[1].text.split("\n")] == [str(i) for i in range(1, 8)]
 
@@ -184,3 +185,47 @@ def test_files_and_command_line(spark, tmp_path, capsys):
     out = capsys.readouterr().out
     assert "Hello PDF" in out and "7 in-use   1 free" in out and "┌ BT" in out and "/F1  0048  H  Heuristic  1" in out
     assert (tmp_path / "r.png").read_bytes().startswith(b"\x89PNG") and (tmp_path / "d.png").exists()
+
+
+def one_page(contents=b"BT /F1 12 Tf (ok) Tj ET", *, root=b"1 0 R", length=None, filters=b"", fonts=b""):
+    """A small file with one damaged part."""
+    body = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] >>", b"<< /Type /Page /Contents 4 0 R " + fonts + b">>", b"<< /Length %s %s>>\nstream\n%s\nendstream" % (length or b"%d" % len(contents), filters, contents)]
+    data = b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, b) for i, b in enumerate(body, 1))
+    return data + b"xref\n0 0\ntrailer\n<< /Size 5 /Root %s >>\nstartxref\n%d\n%%%%EOF" % (root, len(data))
+
+
+def test_damaged_files_give_rows(spark):
+    made = [
+        one_page(), one_page(filters=b"/Filter [null] "), one_page(length=b"4 0 R"), one_page(root=b"null"), one_page(root=b"9 0 R"), one_page(b"BT /F1 12 Tf " + b"9" * 5000 + b" 0 Td (ok) Tj ET"), one_page(b"BT /F1 " + b"9" * 400 + b" Tf (ok) Tj ET"),
+        one_page(filters=b"/Filter /FlateDecode "), one_page(filters=b"/Filter 7 "), one_page(filters=b"/Filter /ASCII85Decode "), one_page(fonts=b"/Resources << /Font << /F1 << /Subtype /Type3 /FontMatrix [1] /Encoding << /Differences [999999999999 /a -5 /b] >> >> >> >> "),
+        b"", b"%PDF", one_page(b"[[[[(" * 3000), one_page(b"<< /a << /b [ 1 2 ET Q Q Q ) > ]"),
+    ]
+    parsed = pdf.parse(files(spark, *made))
+    rows = {r.doc_id: r for r in parsed.collect()}
+    assert set(rows) == set(range(len(made)))
+    assert rows[0].error is None and rows[3].error == rows[4].error == "no page tree" and rows[11].error == "no startxref"
+    text = {r.doc_id: r.text for r in PageLayout(stream_pages(parsed)).text.collect()}
+    assert text[0] == text[1] == text[2] == "ok"
+    assert interpret(parsed.where("error is null")).count() > 0 and listing.rendered(listing.listing(content_ops(parsed.where("error is null")))).count() > 0
+
+
+def test_pages_that_are_missing(spark):
+    parsed = pdf.parse(files(spark, pdf.build([STREAM])), pages=[0, 99])
+    assert {r.page: r.error for r in parsed.collect()} == {0: None, 99: "page 99 not found"}
+    with pytest.raises(Exception, match="page 99 not found"):
+        pdf.parse(files(spark, pdf.build([STREAM])), pages=[99], mode="FAILFAST").collect()
+
+
+def test_trailers_traces_and_order(spark):
+    text = {r.doc_id: r.text for r in xref.trailer_dump(xref.trailers(files(spark, MINIMAL, SECTIONS))).collect()}
+    assert text[1] == "Trailer\n  /Root  2 0 R\n  /Info  2 0 R\n  /Size  3\n  /Prev  1234  (incremental update)" and "/Info" not in text[0]
+    p = PageLayout(stream_pages(pages(spark, STREAM)))
+    trace_ = json.loads(trace.documents(trace.events(p.glyphs, p.words, p.lines, p.blocks)).first().trace)
+    assert [e["stage"] for e in trace_["events"]][-3:] == ["line", "block", "reading_order"] and len(trace_["events"]) == 23
+    svg = trace.svg(trace.rects(p.blocks, "blocks", F.col("block_no")).unionByName(trace.order_note(p.blocks)), 10, 10).first().svg
+    assert '<g id="order"><!-- order: [0] --></g>' in svg
+
+
+def test_odd_strings(spark):
+    raw = [(b"\xfe\xff\x4e",), (b"\xfe\xff\xd8\x00",), (b"\xfe\xff\xd8\x3d\xde\x00",), (b"\xfe\xff",)]
+    assert [r[0] for r in spark.createDataFrame(raw, "b binary").select(T.pdf_string(F.col("b"))).collect()] == ["þÿN", "þÿØ\x00", "\U0001f600", ""]
