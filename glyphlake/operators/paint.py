@@ -29,6 +29,8 @@ LEAST_STROKE = 0.4
 DEFAULT_ADVANCE = 0.5
 _SAMPLES = 4
 _CURVE_STEPS = 12
+#: Glyph programs that show glyphs of their own font may nest so deep; one that shows itself would
+#: never end, so what lies deeper paints nothing.
 _MAX_DEPTH = 8
 
 Matrix = tuple[float, float, float, float, float, float]

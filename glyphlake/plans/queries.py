@@ -326,7 +326,23 @@ def content_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.content_ops(layout.stream_of_text(_docs(spark, sf_dir))).groupBy("doc_id", "operator").agg(F.count("*").alias("n"))
 
 
-@query()
+_LISTED = {op: text for op, (_, text) in listing.OPERATORS.items()}
+
+
+def _listed_row(op: str, line_no: str, tree: str, command: str, note: str) -> str:
+    return f"select doc_id, 0 as page, {line_no} as line_no, '{tree}' as tree, {command} as command, '{_LISTED[op]}' as description, {note} as note from "
+
+
+_STREAM_LISTING = f"""with ln as (select doc_id, unnest(string_split(text, chr(10))) as s, unnest(range(len(string_split(text, chr(10))))) as ln from documents where text is not null),
+shown as (select doc_id, s, 720 - 12 * ln - 18 * (ln // 5) as y, row_number() over (partition by doc_id order by ln) as nth from ln where s <> ''),
+n as (select d.doc_id, count(s.doc_id) as n from documents d left join shown s on s.doc_id = d.doc_id where d.text is not null group by 1)
+{_listed_row("BT", "1", "┌ ", "'BT'", "''")} n union all {_listed_row("Tf", "2", "│   ", "'/F1 10 Tf'", "'font=/F1  size=10'")} n
+union all {_listed_row("Tm", "1 + 2 * nth", "│   ", "'1 0 0 1 72 ' || y || ' Tm'", "'a=1  b=0  c=0  d=1  x=72  y=' || y")} shown
+union all {_listed_row("Tj", "2 + 2 * nth", "│   ", "'(' || s || ') Tj'", "chr(34) || s || chr(34)")} shown
+union all {_listed_row("ET", "3 + 2 * n", "└ ", "'ET'", "''")} n"""
+
+
+@query(_STREAM_LISTING)
 def content_ops_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.listing(content.content_ops(layout.stream_of_text(_docs(spark, sf_dir))))
 
@@ -383,3 +399,168 @@ def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations written as files with a page for each turn, and read again."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
     return pdf.page_counts(pdf.parse(pdf.write_files(layout.stream_of_text(turns))))
+
+
+# Text operators: streams of whole numbers at size 10, whose glyphs are 6 wide
+
+
+def _shown(spark: SparkSession, sf_dir: str, *parts) -> DataFrame:
+    """The glyphs of a stream for each part; strings are text, columns numbers."""
+    text = F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    streams = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("page"), F.encode(text, "UTF-8").alias("content"))
+    return interpreter.interpret(streams).select("doc_id", "seq", F.chr("glyph_id").alias("ch"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("x1").cast("double").alias("x1"))
+
+
+def _shown_sql(*glyphs: tuple[str, str, str]) -> str:
+    """Rows (ch, x, y) as SQL over k, the number of the part; ``step`` is the advance after a glyph."""
+    rows = " union all ".join(f"select k as doc_id, {i} as seq, '{ch}' as ch, ({x})::double as x, ({y})::double as y, ({x} + greatest({step}, 0))::double as x1 from p" for i, (ch, x, y, step) in enumerate(glyphs))
+    return f"with p as (select p_partkey as k from part) {rows}"
+
+
+@query(_shown_sql(("A", "k % 100", "700 - k % 50", "6 + k % 5"), (" ", "k % 100 + 6 + k % 5", "700 - k % 50", "6 + k % 5 + k % 7"), ("B", "k % 100 + 12 + 2 * (k % 5) + k % 7", "700 - k % 50", "6 + k % 5"), ("C", "k % 100", "690 - k % 50 - k % 3", "6 + k % 5")))
+def text_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tc, Tw, TL, Td and T*."""
+    k = F.col("p_partkey")
+    return _shown(spark, sf_dir, "BT /F1 10 Tf ", k % 5, " Tc ", k % 7, " Tw ", 10 + k % 3, " TL ", k % 100, " ", 700 - k % 50, " Td (A B) Tj T* (C) Tj ET")
+
+
+@query(_shown_sql(("A", "k % 90", "k % 80 + k % 4", "3 * (1 + k % 3)"), ("B", "k % 90 + (3 + 5 * (k % 6)) * (1 + k % 3)", "k % 80 + k % 4", "3 * (1 + k % 3)"), ("C", "k % 90 + (1 + k % 3)", "k % 80 + k % 4", "3 * (1 + k % 3)")))
+def text_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tz, Ts and TJ with kerns to the right and to the left."""
+    k = F.col("p_partkey")
+    return _shown(spark, sf_dir, "BT /F1 10 Tf ", 50 * (1 + k % 3), " Tz ", k % 4, " Ts ", k % 90, " ", k % 80, " Td [(A) -", 1000 * (k % 6), " (B) ", 1000 * (k % 6) + 1000, " (C)] TJ ET")
+
+
+@query(_shown_sql(("A", "k % 60", "680 - k % 20", "6"), ("B", "k % 60", "660 - 2 * (k % 20)", "6"), ("C", "k % 60", "640 - 3 * (k % 20)", "6"), ("D", "k % 60", "620 - 4 * (k % 20)", "6 + k % 5"), (" ", "k % 60 + 6 + k % 5", "620 - 4 * (k % 20)", "6 + k % 5 + k % 9"), ("E", "k % 60 + 12 + 2 * (k % 5) + k % 9", "620 - 4 * (k % 20)", "6 + k % 5")))
+def text_next_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TD, which sets the leading, T*, ' and \"."""
+    k = F.col("p_partkey")
+    return _shown(spark, sf_dir, "BT /F1 10 Tf 0 700 Td ", k % 60, " -", 20 + k % 20, " TD (A) Tj T* (B) Tj (C) ' ", k % 9, " ", k % 5, ' (D E) " ET')
+
+
+@query(_shown_sql(("A", "k % 30 + k % 20 + 10", "k % 40 + 14", "6"), ("B", "k % 30", "k % 40", "6"), ("C", "k % 30 + 5", "k % 40", "6")))
+def text_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q, cm, Q, Tm and BT, which resets; text outside BT and ET is not shown."""
+    k = F.col("p_partkey")
+    return _shown(spark, sf_dir, "1 0 0 1 ", k % 30, " ", k % 40, " cm q 2 0 0 2 ", k % 20, " 0 cm BT /F1 10 Tf 1 0 0 1 5 7 Tm (A) Tj ET Q BT (B) Tj ET Q BT 10 0 Td -5 0 Td (C) Tj ET (D) Tj")
+
+
+# Parts of files
+
+
+def _part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each part: a page of its own size and four kinds of fonts."""
+    k = F.col("p_partkey")
+    stream = lambda body: F.concat(F.lit("<< /Length "), F.length(body), F.lit(" >>\nstream\n"), body, F.lit("\nendstream"))
+    lit = F.lit
+    objects = [
+        lit("<< /Type /Catalog /Pages 2 0 R >>"),
+        lit("<< /Type /Pages /Count 1 /Kids [3 0 R] >>"),
+        F.concat(lit("<< /Type /Page /MediaBox [0 0 "), k % 7 * 100, lit(" "), 200 + k % 9, lit("] /Contents [10 0 R 11 0 R] /Resources << /Font << /T3 4 0 R /T0 5 0 R /TT 6 0 R /T1 7 0 R >> >> >>")),
+        F.concat(lit("<< /Subtype /Type3 /FontMatrix [0.5 0 0 0.25 0 "), k % 9, lit("] /Encoding << /Differences [65 /a /b 97 /a] >> /CharProcs << /a 10 0 R /b 11 0 R >> /FirstChar 65 /Widths ["), k % 100, lit(" "), k % 50, lit("] /ToUnicode 12 0 R >>")),
+        lit("<< /Subtype /Type0 /Encoding /Identity-H /DescendantFonts [8 0 R] >>"),
+        lit("<< /Subtype /TrueType /FontDescriptor 9 0 R >>"),
+        lit("<< /Subtype /Type1 /BaseFont /Courier >>"),
+        lit("<< /Subtype /CIDFontType2 /FontDescriptor 9 0 R >>"),
+        lit("<< /FontFile2 13 0 R >>"),
+        stream(F.concat(lit("0 0 "), k % 30, lit(" 5 re f"))),
+        stream(lit("q Q")),
+        stream(F.concat(lit("beginbfchar\n<41> <"), F.lpad(F.hex(19968 + k % 500), 4, "0"), lit(">\nendbfchar"))),
+        stream(F.concat(lit("program "), k)),
+    ]
+    head = F.concat(lit("%PDF-1.4\n"), *(F.concat(lit(f"{i} 0 obj\n"), o, lit("\nendobj\n")) for i, o in enumerate(objects, 1)))
+    made = table(spark, sf_dir, "part").select(k.alias("doc_id"), head.alias("head"))
+    whole = F.concat("head", lit("xref\n0 1\n0000000000 65535 f\r\ntrailer\n<< /Size 14 /Root 1 0 R >>\nstartxref\n"), F.length("head"), lit("\n%%EOF"))
+    return made.select("doc_id", F.concat("doc_id", lit(".pdf")).alias("path"), F.encode(whole, "ISO-8859-1").alias("content"))
+
+
+@query("""select p_partkey as doc_id, case when p_partkey % 7 = 0 then 595 else p_partkey % 7 * 100 end::double as width, case when p_partkey % 7 = 0 then 842 else 200 + p_partkey % 9 end::double as height,
+'0 0 ' || p_partkey % 30 || ' 5 re f' || chr(10) || 'q Q' as content from part""")
+def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and joined content streams of pages as they are read."""
+    return pdf.parse(_part_files(spark, sf_dir)).select("doc_id", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), F.decode("content", "UTF-8").alias("content"))
+
+
+@query("""select p_partkey as doc_id, f.* from part, (select unnest([
+ {'font_name': '/T3', 'kind': 'type3', 'two_byte': false}, {'font_name': '/T0', 'kind': 'truetype', 'two_byte': true}, {'font_name': '/TT', 'kind': 'truetype', 'two_byte': false}, {'font_name': '/T1', 'kind': 'unsupported', 'two_byte': false}]) as f)""")
+def font_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pdf.page_fonts(pdf.parse(_part_files(spark, sf_dir))).select("doc_id", "font_name", "kind", "two_byte")
+
+
+@query("""select p_partkey as doc_id, 0.25::double as scale, (p_partkey % 9)::double as shift, (p_partkey % 100 + p_partkey % 50)::double as widths, '65,66,97' as codes, '0 0 ' || p_partkey % 30 || ' 5 re f' as glyph from part""")
+def type3_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fonts = pdf.page_fonts(pdf.parse(_part_files(spark, sf_dir))).where("kind = 'type3'")
+    widths = F.aggregate(F.map_values("widths"), F.lit(0.0), lambda a, w: a + w.cast("double"))
+    return fonts.select("doc_id", F.get("font_matrix", F.lit(3)).cast("double").alias("scale"), F.get("font_matrix", F.lit(5)).cast("double").alias("shift"), widths.alias("widths"), F.array_join(F.array_sort(F.map_keys("char_procs")), ",").alias("codes"), F.decode(F.try_element_at("char_procs", F.lit(97)), "UTF-8").alias("glyph"))
+
+
+@query("""select p_partkey as doc_id, f as font_name, 'program ' || p_partkey as program from part, (select unnest(['/T0', '/TT']) as f)""")
+def font_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pdf.page_fonts(pdf.parse(_part_files(spark, sf_dir))).where("program is not null").select("doc_id", "font_name", F.decode("program", "UTF-8").alias("program"))
+
+
+@query("""select p_partkey as doc_id, '/T3' as font_name, 65 as glyph_id, chr(cast(19968 + p_partkey % 500 as int)) as unicode from part""")
+def unicode_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character maps from the streams that fonts name."""
+    return cmap.page_cmap(pdf.unicode_programs(pdf.parse(_part_files(spark, sf_dir)))).select("doc_id", "font_name", "glyph_id", "unicode")
+
+
+@query("""with n as (select conv_id, count(*) as n from conversations group by 1)
+select conv_id as doc_id, p as page, case when p >= n then 'page ' || p || ' not found' end as error from n, (select unnest([0, 2, 9]) as p)""")
+def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by number; those that a file lacks are errors."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    return pdf.parse(pdf.write_files(layout.stream_of_text(turns)), pages=[0, 2, 9]).select("doc_id", "page", "error")
+
+
+@query("""select o_orderkey as doc_id, case o_custkey % 4 when 0 then 'no startxref' when 1 then 'no classic table' when 2 then 'no startxref' end as error from orders""")
+def xref_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files without a table, with one in a stream, with one that is cut off, and whole ones."""
+    whole, kind = _xref_files(spark, sf_dir), F.col("o_custkey") % 4
+    kinds = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), kind.alias("kind"))
+    part = F.when(F.col("kind") == 0, F.encode(F.lit("%PDF-1.4"), "UTF-8")).when(F.col("kind") == 1, F.encode(F.lit("1 0 obj << /Type /XRef >>\nstartxref\n0\n%%EOF"), "UTF-8")).when(F.col("kind") == 2, F.encode(F.lit("xref\n0 0\nstartxref\n%%EOF"), "UTF-8")).otherwise(F.col("content"))
+    return xref.located(whole.join(kinds, "doc_id").select("doc_id", part.alias("content"))).select("doc_id", "error")
+
+
+@query("""select o_orderkey as doc_id, 'Trailer' || chr(10) || '  /Root  1 0 R' || case when o_custkey % 7 > 2 then chr(10) || '  /Info  ' || o_custkey % 7 || ' 1 R' else '' end || chr(10) || '  /Size  ' || (o_custkey % 7 + 2)
+|| chr(10) || '  /Prev  ' || o_custkey || '  (incremental update)' as text from orders""")
+def xref_trailers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return xref.trailer_dump(xref.trailers(_xref_files(spark, sf_dir)))
+
+
+@query("""select p_partkey, p_name || 'é' as text from part""")
+def pdf_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same text in the three encodings of strings."""
+    k, text = F.col("p_partkey"), F.concat("p_name", F.lit("é"))
+    raw = F.when(k % 3 == 0, F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE"))).when(k % 3 == 1, F.encode(text, "UTF-8")).otherwise(F.encode(text, "ISO-8859-1"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.pdf_string(raw).alias("text"))
+
+
+@query("""select p_partkey, (p_size % 9)::double as width, (p_partkey % 8)::double as height, (p_partkey % 50 + 3 * (p_size % 7))::double as x, (p_partkey % 40)::double as y from part""")
+def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sides of rectangles, and corners moved by a product of matrices that begins with the identity."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    r = G.rect(k % 50, k % 40, n % 9, k % 8)
+    m = G.product(F.array(G.identity(), G.matrix([F.lit(1), F.lit(0), F.lit(0), F.lit(1), 2 * (n % 7), F.lit(0)]), G.matrix([F.lit(1), F.lit(0), F.lit(0), F.lit(1), n % 7, F.lit(0)])))
+    found = table(spark, sf_dir, "part").select("p_partkey", r.alias("r"), m.alias("m"))
+    p = G.transform_point(F.col("m"), F.col("r.x0"), F.col("r.y0"))
+    return found.select("p_partkey", G.width(F.col("r")).cast("double").alias("width"), G.height(F.col("r")).cast("double").alias("height"), p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))
+
+
+def _colored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each part with fills and strokes in gray and RGB, curves, and paths that are not painted."""
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("0.5 g 0.25 0.5 0.75 RG "), k % 30, F.lit(" 0 10 10 re B 1 0 0 sc 0 0 m 3 0 6 0 "), 9 + k % 5, F.lit(" 0 c 0 "), 4 + k % 3, F.lit(" l b* q 0 1 0 scn 0.5 SC 0 0 m 2 2 "), 4 + k % 4, F.lit(" 4 v s Q 7 7 m 8 8 9 9 y F 1 1 5 5 re W n 1 i /x gs 2 2 2 2 re f*"))
+    return table(spark, sf_dir, "part").select(k.alias("doc_id"), F.lit(0).alias("page"), F.encode(text, "UTF-8").alias("content"))
+
+
+@query("""select p_partkey as doc_id, c.* from part, lateral (select unnest([
+ {'seq': 0, 'operator': 'B', 'even_odd': false, 'fill': '0.5,0.5,0.5', 'stroke': '0.25,0.5,0.75', 'x1': (p_partkey % 30 + 10)::double, 'y1': 10.0::double},
+ {'seq': 1, 'operator': 'b*', 'even_odd': true, 'fill': '1,0,0', 'stroke': '0.25,0.5,0.75', 'x1': (9 + p_partkey % 5)::double, 'y1': (4 + p_partkey % 3)::double},
+ {'seq': 2, 'operator': 's', 'even_odd': false, 'fill': null, 'stroke': '0.5,0.5,0.5', 'x1': (4 + p_partkey % 4)::double, 'y1': 4.0::double},
+ {'seq': 3, 'operator': 'F', 'even_odd': false, 'fill': '1,0,0', 'stroke': null, 'x1': 9.0::double, 'y1': 9.0::double},
+ {'seq': 4, 'operator': 'f*', 'even_odd': true, 'fill': '1,0,0', 'stroke': null, 'x1': 4.0::double, 'y1': 4.0::double}]) as c)""")
+def paint_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shade = lambda c: F.array_join(F.transform(c, lambda v: T.trimmed_real(v)), ",")
+    found = paint.paint_paths(_colored(spark, sf_dir))
+    return found.select("doc_id", "seq", "operator", "even_odd", shade("fill").alias("fill"), shade("stroke").alias("stroke"), F.round("x1", 6).alias("x1"), F.round("y1", 6).alias("y1"))
