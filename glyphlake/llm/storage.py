@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that driver and executors share.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where that is unset
-(tests, a laptop) a folder below /tmp is chosen and set.  A written table cuts the lineage: a
+The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where that is unset and
+all tasks run in one process (tests, a laptop) a folder below /tmp is chosen and set; a cluster
+without a shared folder is an error, as its executors would write to their own disks.  A written table cuts the lineage: a
 lost executor costs its running tasks, not the finished work.
 """
 
@@ -21,6 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder, without a trailing slash."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(FALLBACK_DIR)
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
