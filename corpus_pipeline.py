@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; its result
-is written as Parquet in the shared folder and read again as the next one's ``docs``.
+is written as Parquet in the shared folder and read again as the next one's ``docs``.  Extra columns
+pass through; an empty table gives empty ones.
 """
 
 from __future__ import annotations
@@ -14,22 +15,23 @@ from glyphlake.llm.storage import Workspace
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents out of line with their language and source go."""
+    """Documents out of line with their language and source go; a null text has failed."""
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays; rows without an id, and one row of each
+    id and wordless text, stay, too."""
     return minhash.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go, each row for its own text, whatever its id."""
     return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; n_chars follows."""
+    """Secrets are masked; n_chars follows, null for a null text."""
     return secrets.mask(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
