@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import Workspace, shuffle_partitions
+from .storage import Workspace, ranges
 
 N_SHARDS = 40
 ROW_OVERHEAD = 16
@@ -34,12 +34,12 @@ def byte_shards(docs: DataFrame, n_shards: int = N_SHARDS, row_overhead: int = R
     narrow = ws.write(narrow, "narrow")
     # ``row`` was stored above, so the order is total and the same in every attempt
     order = [F.col("doc_id").asc_nulls_first(), F.col("row").asc()]
-    ranged = ws.write(narrow.repartitionByRange(shuffle_partitions(spark), *order).withColumn("range", F.spark_partition_id()), "ranged")
+    ranged = ws.write(narrow.repartitionByRange(ranges(narrow), *order).withColumn("range", F.spark_partition_id()), "ranged")
 
     totals = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
-    # as many rows as ranges, which is the number of shuffle partitions
+    # as many rows as ranges, which follow the bytes of the narrow table
     bases = totals.select("range", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base_bytes"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base_rows"), F.sum("bytes").over(whole).alias("total"))
 
     inside = Window.partitionBy("range").orderBy(*order)

@@ -53,8 +53,18 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of input for each range of an ordered table.
+RANGE_BYTES = 256 << 20
+#: Sizes above this are a planner's sign that it knows none.
+_UNKNOWN = 1 << 55
+
+
+def ranges(df: DataFrame) -> int:
+    """How many ranges to order ``df`` in: by the bytes of its files, the session's number at least."""
+    least = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return max(least, -(-size // RANGE_BYTES)) if size < _UNKNOWN else least
 
 
 #: Bytes of an Arrow batch that a Python worker holds at once, a few times over.

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import Workspace, shuffle_partitions
+from .storage import Workspace, ranges
 from .tokenize import encoder as encoder_of
 
 VOCABULARY = "word_bpe_49k.json"
@@ -96,7 +96,7 @@ def write(docs: DataFrame, root: str, vocabulary: str = VOCABULARY, end_id: int
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = rows.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ranged = rows.repartitionByRange(ranges(rows), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     done = ranged.mapInArrow(_writer(root, vocabulary, end_id), "part int, docs long, ids long, width int")
     base, parts = 0, []
     for r in sorted(done.collect()):  # one row for each file
