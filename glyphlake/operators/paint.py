@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .content import Name, operations
+from .interpreter import mul
 from .truetype import TrueType
 
 # Pixels per point of a rendered page and an overlay; the thinnest stroke in pixels.
@@ -42,10 +43,6 @@ def real(v: Any) -> float:
     return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else 0.0
 
 
-def mul(m: Matrix, n: Matrix) -> Matrix:
-    return (m[0] * n[0] + m[2] * n[1], m[1] * n[0] + m[3] * n[1], m[0] * n[2] + m[2] * n[3], m[1] * n[2] + m[3] * n[3], m[0] * n[4] + m[2] * n[5] + m[4], m[1] * n[4] + m[3] * n[5] + m[5])
-
-
 def clamp(v: float) -> float:
     return min(max(v, 0.0), 1.0)
 
