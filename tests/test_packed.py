@@ -127,3 +127,25 @@ def test_streams_with_programs(spark):
         assert rows(getattr(one_pass, stage), "text") == rows(getattr(joined, stage), "text") == rows(getattr(beside, stage), "text")
     assert rows(one_pass.text, "text") == [(1, 0, "x模c ³"), (2, 0, "ab")]
     assert interpreter.interpret(streams).where("doc_id is null").count() == 0
+
+
+def test_small_inputs_are_spread_and_large_ones_stay(spark, docs, sf):
+    found = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan(layout.pages_of_text(found).df)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert "Repartition" not in plan(layout.pages_of_text(found).df)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_chunks_change_nothing(spark, docs, monkeypatch):
+    texts = [t or "" for t in TEXTS] * 3
+    whole = packed.find_words(packed.characters(packed.lay_out(texts), {}))["text"].to_pylist()
+    weights = np.array([len(t) + 1 for t in texts])
+    monkeypatch.setattr(packed, "CHUNK", 7)
+    ranges = list(packed._ranges(weights))
+    assert ranges[0][0] == 0 and ranges[-1][1] == len(texts) and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:]))
+    assert [w for a, b in ranges for w in packed.find_words(packed.characters(packed.lay_out(texts[a:b]), {}))["text"].to_pylist()] == whole
