@@ -42,6 +42,8 @@ SCHEMAS = {
     "blocks": f"doc_id long, page int, block_no int, n_lines long, {_BOX}, text string, reading_order int",
     "text": "doc_id long, page int, text string",
 }
+# one row a page with all of its stages
+SCHEMAS["nested"] = "doc_id long, page int, " + ", ".join(f"{stage} array<struct<{SCHEMAS[stage].split(', ', 2)[2].replace(' ', ':').replace(',:', ',')}>>" for stage in ("glyphs", "words", "lines", "blocks"))
 
 
 @dataclass
@@ -365,25 +367,43 @@ def find_text(blocks: dict, n_pages: int, blank: bool) -> tuple[np.ndarray, pa.S
     return np.arange(n_pages), pc.fill_null(found, "")
 
 
+def _fields(stage: str) -> list[str]:
+    """Names of a stage's columns after the page's."""
+    return [c.split()[0] for c in SCHEMAS[stage].split(", ")][2:]
+
+
+def _glyph_columns(g: Glyphs) -> list[pa.Array]:
+    single = pa.array(g.fonts, pa.string())
+    unicode = _strings(g, np.zeros(len(g.at), bool))
+    unicode = pc.if_else(pa.array(g.point != -1), unicode, pa.scalar(None, pa.string()))
+    method = pa.DictionaryArray.from_arrays(pa.array(g.mapped, pa.int32()), pa.array(METHODS)).cast(pa.string())
+    return [pa.array(g.seq), pa.array(g.glyph_id), *(pa.array(getattr(g, c)) for c in ("x", "y", "x0", "y0", "x1", "y1", "size")), single.take(pa.array(g.font, pa.int32(), mask=g.font < 0)), unicode, method]
+
+
+def _found_columns(stage: str, found: dict) -> list[pa.Array]:
+    wide = {"n_glyphs", "n_words", "n_lines"}
+    return [found[c] if isinstance(found[c], pa.Array) else pa.array(found[c].astype(np.int64) if c in wide else found[c]) for c in _fields(stage)]
+
+
 def _columns(stage: str, g: Glyphs, blank: bool) -> tuple[np.ndarray, list[pa.Array]]:
     """The page number of each row of a stage, and its columns after the page's."""
     if stage == "glyphs":
-        single = pa.array(g.fonts, pa.string())
-        unicode = _strings(g, np.zeros(len(g.at), bool))
-        unicode = pc.if_else(pa.array(g.point != -1), unicode, pa.scalar(None, pa.string()))
-        method = pa.DictionaryArray.from_arrays(pa.array(g.mapped, pa.int32()), pa.array(METHODS)).cast(pa.string())
-        return g.at, [pa.array(g.seq), pa.array(g.glyph_id), *(pa.array(getattr(g, c)) for c in ("x", "y", "x0", "y0", "x1", "y1", "size")), single.take(pa.array(g.font, pa.int32(), mask=g.font < 0)), unicode, method]
-    found = find_words(g)
-    if stage != "words":
-        found = find_lines(found)
-    if stage in ("blocks", "text"):
-        found = find_blocks(found)
+        return g.at, _glyph_columns(g)
+    words = find_words(g)
+    if stage == "words":
+        return words["at"], _found_columns(stage, words)
+    lines = find_lines(words)
+    if stage == "lines":
+        return lines["at"], _found_columns(stage, lines)
+    blocks = find_blocks(lines)
     if stage == "text":
-        at, text = find_text(found, g.n_pages, blank)
+        at, text = find_text(blocks, g.n_pages, blank)
         return at, [text]
-    names = [c.split()[0] for c in SCHEMAS[stage].split(", ")][2:]
-    wide = {"n_glyphs", "n_words", "n_lines"}
-    return found["at"], [found[c] if isinstance(found[c], pa.Array) else pa.array(found[c].astype(np.int64) if c in wide else found[c]) for c in names]
+    if stage == "blocks":
+        return blocks["at"], _found_columns(stage, blocks)
+    pages = np.arange(g.n_pages)
+    listed = lambda at, name, columns: pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(g.n_pages + 1)), pa.int32()), pa.StructArray.from_arrays(columns, names=_fields(name)))
+    return pages, [listed(g.at, "glyphs", _glyph_columns(g)), *(listed(found["at"], name, _found_columns(name, found)) for name, found in (("words", words), ("lines", lines), ("blocks", blocks)))]
 
 
 def _ranges(weights: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -397,7 +417,7 @@ def _ranges(weights: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _runner(kind: str, stage: str, blank: bool, plain: tuple) -> Callable:
-    names = [c.split()[0] for c in SCHEMAS[stage].split(", ")]
+    names = ["doc_id", "page", *(("glyphs", "words", "lines", "blocks") if stage == "nested" else _fields(stage))]
 
     def glyphs(part: pa.RecordBatch) -> Glyphs:
         column = part.column(2)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import PAGE
+from .packed import Pages
 
 # The stroke of each layer.
 STROKES = {"glyphs": "#4488ff", "words": "#44bb44", "lines": "#ff8800", "blocks": "#cc0000"}
@@ -40,6 +41,28 @@ def rects(df: DataFrame, layer: str, seq: Column) -> DataFrame:
     return df.select(*PAGE, F.lit(layer).alias("layer"), seq.cast("bigint").alias("seq"), shape.alias("rect"))
 
 
+def page_events(pages: Pages) -> DataFrame:
+    """The rows of ``events`` from pages, in one pass over them."""
+
+    def of(column: str, stage: str, seq, *fields) -> Column:
+        payload = lambda r: F.to_json(F.struct(F.lit(stage).alias("stage"), *(f(r).alias(n) for n, f in fields)), {"ignoreNullFields": "false"})
+        return F.transform(column, lambda r: F.struct(F.lit(stage).alias("stage"), seq(r).cast("bigint").alias("seq"), payload(r).alias("payload")))
+
+    field = lambda name: lambda r: r[name]
+    wide = lambda a, b: lambda r: (r[b] - r[a]).cast("float")
+    order = F.transform(F.array_sort(F.transform("blocks", lambda b: F.struct(b["reading_order"].alias("o"), b["block_no"].alias("n")))), lambda b: b["n"])
+    ordered = F.struct(F.lit("reading_order").alias("stage"), F.lit(0).cast("bigint").alias("seq"), F.to_json(F.struct(F.lit("reading_order").alias("stage"), order.alias("order"))).alias("payload"))
+    every = F.concat(
+        of("glyphs", "glyph", field("seq"), ("id", field("glyph_id")), ("unicode", field("unicode")), ("method", field("mapping_method")), ("font", field("font_name")), ("x", field("x")), ("y", field("y"))),
+        of("glyphs", "mapping", field("seq"), ("glyph_id", field("glyph_id")), ("unicode", field("unicode")), ("method", field("mapping_method"))),
+        of("words", "word", lambda r: r["line_no"] * F.lit(1 << 20) + r["word_no"], ("text", field("text")), ("x", field("x0")), ("y", field("y0")), ("w", wide("x0", "x1")), ("h", wide("y0", "y1"))),
+        of("lines", "line", field("line_no"), ("words", field("n_words")), ("baseline", field("baseline_y"))),
+        of("blocks", "block", field("block_no"), ("lines", field("n_lines")), ("order", field("reading_order"))),
+        F.when(F.size("blocks") > 0, F.array(ordered)).otherwise(F.array().cast("array<struct<stage:string,seq:bigint,payload:string>>")),
+    )
+    return pages.rows("nested").select(*PAGE, F.inline(every))
+
+
 def documents(found: DataFrame) -> DataFrame:
     """(doc_id, page, trace): the events of a page as one JSON document, stage by stage."""
     stages = F.array(*map(F.lit, ("glyph", "mapping", "word", "line", "block", "reading_order")))

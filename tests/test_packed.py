@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from test_layout import GLYPHS, plain_order
 
-from glyphlake.operators import clustering, cmap, interpreter, layout, mapping, ordering, packed
+from glyphlake.operators import clustering, cmap, interpreter, layout, mapping, ordering, packed, trace
 from glyphlake.plans.layout import PageLayout
 from glyphlake.sources import pdf
 
@@ -149,3 +149,11 @@ def test_chunks_change_nothing(spark, docs, monkeypatch):
     ranges = list(packed._ranges(weights))
     assert ranges[0][0] == 0 and ranges[-1][1] == len(texts) and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:]))
     assert [w for a, b in ranges for w in packed.find_words(packed.characters(packed.lay_out(texts[a:b]), {}))["text"].to_pylist()] == whole
+
+
+def test_events_in_one_pass(docs):
+    p = PageLayout(layout.pages_of_text(docs))
+    found = trace.page_events(p.pages)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert rows(found, "stage", "seq", "payload") == rows(trace.events(p.glyphs, p.words, p.lines, p.blocks), "stage", "seq", "payload")
