@@ -271,8 +271,9 @@ def template_branches(pages: DataFrame, min_importance: float = MIN_IMPORTANCE,
     style = F.when(F.col("pages") > 1, (F.log("pages") - F.col("n_log_n") / F.col("pages")) / F.log("pages"))
     content = F.when((F.col("m") > 1) & (F.col("blocks") > 0), 1 - F.col("log_n") / F.col("blocks") / F.log("m"))
     node = node.select("host", "path", "m", F.when(F.col("m") <= 1, F.lit(1.0)).otherwise(F.coalesce(content, style, F.lit(1.0))).alias("importance"))
-    # a path counts for itself and, ever less, for the branches above it
-    up = node.where(F.size("path") > 0).select("host", "m", "importance", F.size("path").alias("depth"), F.posexplode("path").alias("level", "branch"))
+    # a path counts for itself and, ever less, for the branches above it; the outer form keeps the
+    # optimizer from testing the path below the grouping, which would then be done once more
+    up = node.select("host", "m", "importance", F.size("path").alias("depth"), F.posexplode_outer("path").alias("level", "branch")).where("branch is not null")
     below = F.col("depth") - 1 - F.col("level")
     weight = F.pow(F.lit(DECAY), below)
     branch = up.groupBy("host", "branch").agg((F.sum(F.col("importance") * weight) / F.sum(weight)).alias("importance"), F.max(F.when(below == 0, F.col("m"))).alias("pages"))
